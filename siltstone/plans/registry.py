@@ -1,4 +1,9 @@
 """Every query with its SQL, by name."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from siltstone.plans import texts
+
+MODULES = (texts,)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
