@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from siltstone.plans import texts
+from siltstone.plans import logs, texts, web
 
-MODULES = (texts,)
+MODULES = (texts, web, logs)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
