@@ -1,14 +1,14 @@
 """MinHash near-duplicate detection with odd sketches.
 
-1. Each document's set of five-word shingles becomes 256 MinHash samples. The
-   first 192 form 32 bands of 6; all 256 are folded into a 1,024-bit parity
+1. Each document's set of five-word shingles becomes 512 MinHash samples. The
+   first 192 form 32 bands of 6; all 512 are folded into a 2,048-bit parity
    bitmap, the odd sketch.
 2. Documents with the same set form a class; only its smallest doc_id goes on.
 3. Candidates share a band. They come in three rounds, so that a group of
    copies never gives all its pairs: each document with the smallest of its
    bucket; then with the most alike one of another component in its bucket;
    then, in buckets that still hold several components, what is left between
-   different components.
+   different components. No pair is tested twice.
 4. XOR population counts of the sketches estimate the Jaccard similarity and
    drop candidates far below the threshold; all others are confirmed on full
    sets. Links never rest on an estimate.
@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import documents, materialize
 
 SHINGLE = 5
-SAMPLES, BANDS, ROWS = 256, 32, 6
-SKETCH_BITS = 1024
+SAMPLES, BANDS, ROWS = 512, 32, 6
+SKETCH_BITS = 2048
 #: Links need 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 85
-#: Candidates whose estimate is more than this below the threshold are dropped: five standard errors of 256 samples at 0.85.
-MARGIN = 0.11
+#: Candidates whose estimate is more than this below the threshold are dropped: 4.7 standard errors of 512 samples at 0.85.
+MARGIN = 0.074
 
 _RNG = np.random.default_rng(20240601)
 _A = _RNG.integers(0, 2**32, SAMPLES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -70,8 +70,8 @@ def shingle_hashes(text: str | None) -> np.ndarray:
 def minhash(hashes: np.ndarray) -> np.ndarray:
     x = (hashes >> np.uint64(32)).astype(np.uint32)
     out = np.full(SAMPLES, 0xFFFFFFFF, dtype=np.uint32)
-    for k in range(0, len(x), 1024):
-        part = _A[:, None] * x[None, k : k + 1024]
+    for k in range(0, len(x), 512):
+        part = _A[:, None] * x[None, k : k + 512]
         part += _B[:, None]
         np.minimum(out, part.min(axis=1), out=out)
     return out
@@ -82,7 +82,7 @@ def odd_sketch(samples: np.ndarray) -> bytes:
     v = (samples ^ _SLOT) * np.uint32(0x85EBCA6B)
     v ^= v >> np.uint32(13)
     v = v * np.uint32(0xC2B2AE35)
-    bits = (np.bincount(v >> np.uint32(22), minlength=SKETCH_BITS) & 1).astype(np.uint8)
+    bits = (np.bincount(v >> np.uint32(21), minlength=SKETCH_BITS) & 1).astype(np.uint8)
     return np.packbits(bits).tobytes()
 
 
@@ -228,13 +228,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = materialize(nodes.select("node", "sketch").join(member.select("node").distinct(), "node"))
     sets = materialize(own.select(F.col("doc_id").alias("node"), "text").join(sketches.select("node"), "node").select("node", "text").mapInArrow(_sets, "node long, set binary").distinct())
 
-    links = materialize(confirm(member.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), sketches, sets))
+    tested = materialize(member.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
+    links = materialize(confirm(tested, sketches, sets))
     comp = components(links)
     for best in (True, False):
         now = member.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
         mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         open_ = now.join(mixed, "key").join(sketches, "node").select("key", "node", "comp", "sketch")
-        pairs = open_.groupBy("key").applyInArrow(_between(best), "a long, b long").distinct()
+        pairs = materialize(open_.groupBy("key").applyInArrow(_between(best), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"))
+        tested = tested.unionByName(pairs)
         links = materialize(links.union(confirm(pairs, sketches, sets)))
         comp = components(links)
 
