@@ -9,7 +9,8 @@ anchor is a segment.
 1. Segments are counted by (hash of the anchor, hash of the segment). An anchor
    seen once has no repeated window. A segment seen twice is repeated whole.
 2. Of anchors with different segments one copy of each segment goes on, with
-   its bytes, dealt by anchor. Their suffixes are sorted in two stages: suffixes
+   its bytes, dealt by anchor, if it agrees with another on one side of the
+   anchor as far as every window reaches on one side or the other. Their suffixes are sorted in two stages: suffixes
    smaller than their successors directly, all others by scanning the buckets.
    Windows whose common prefix with a neighbour reaches 200 bytes are repeated.
 3. Repeated windows come back to their documents, which lose what they cover.
@@ -22,6 +23,7 @@ Extra columns are not read.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,9 +82,9 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first window, last window) of each run of windows with one anchor."""
-    keys, firsts, lasts, at = [], [], [], 0
+def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, first window, last window, place of the anchor) of each run of windows with one anchor."""
+    keys, firsts, lasts, places, at = [], [], [], [], 0
     while len(data) - at >= SPAN:
         part = np.frombuffer(data, np.uint8, min(_CHUNK, len(data) - at), at)
         h = gram_hashes(part)
@@ -94,10 +96,11 @@ def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keys.append(h[anchor[first]])
         firsts.append(first + at)
         lasts.append(last + at)
+        places.append(anchor[first] + at)
         at += len(anchor)
     if not keys:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(keys), np.concatenate(firsts), np.concatenate(lasts)
+        return np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3
+    return np.concatenate(keys), np.concatenate(firsts), np.concatenate(lasts), np.concatenate(places)
 
 
 def suffix_array(texts: list[bytes], depth: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
@@ -138,15 +141,16 @@ def suffix_array(texts: list[bytes], depth: int = SPAN) -> tuple[np.ndarray, np.
         rank = np.arange(len(some)) - np.repeat(np.cumsum(tail_counts) - tail_counts, tail_counts)
         for place, i in zip((tails[first_byte] + rank).tolist(), some, strict=True):
             order[place] = i
-    begins = set((ends_of - sizes).tolist())
-    falls = (~rising).tolist()
+    induces = np.zeros(n, bool)  # the suffix one to the left belongs to the same text and isn't smaller than this one
+    induces[1:] = ~rising[:-1] & ~last[:-1]
+    induces = induces.tobytes()
     for e, size in zip(ends_of.tolist(), sizes.tolist(), strict=True):  # the ends of the texts are the smallest suffixes of all
         if size:
             c = joined[e - 1]
             order[heads[c]] = e - 1
             heads[c] += 1
     for i in order:
-        if i > 0 and i not in begins and falls[i - 1]:
+        if induces[i]:
             c = joined[i - 1]
             order[heads[c]] = i - 1
             heads[c] += 1
@@ -154,8 +158,8 @@ def suffix_array(texts: list[bytes], depth: int = SPAN) -> tuple[np.ndarray, np.
     return out, owner[out] if n else owner
 
 
-def adjacent_lcp(joined: bytes, order: np.ndarray, ends: np.ndarray, depth: int = SPAN) -> np.ndarray:
-    """Common prefix of each suffix with the one before it in the order, `depth` at most."""
+def adjacent_lcp(joined: bytes, order: np.ndarray, ends: np.ndarray, depth: int = SPAN, least: int = 0) -> np.ndarray:
+    """Common prefix of each suffix with the one before it in the order, `depth` at most; 0 where one of them is shorter than `least`."""
     data = np.frombuffer(joined, np.uint8)
     padded = np.concatenate([data, np.zeros(depth, np.uint8)])
     out = np.zeros(len(order), np.int64)
@@ -163,9 +167,9 @@ def adjacent_lcp(joined: bytes, order: np.ndarray, ends: np.ndarray, depth: int
         return out
     a, b = order[:-1], order[1:]
     most = np.minimum(np.minimum(ends[a] - a, ends[b] - b), depth)
-    common, live, step = np.zeros(len(a), np.int64), np.arange(len(a)), 0
+    common, live, step = np.zeros(len(a), np.int64), np.nonzero(most >= least)[0], 0
     while len(live) and step < depth:
-        width = min(8 if step < 16 else 40, depth - step)
+        width = min(16 if step < 16 else 184, depth - step)
         cols = np.arange(step, step + width)
         same = padded[a[live, None] + cols] == padded[b[live, None] + cols]
         run = np.where(same.all(axis=1), width, same.argmin(axis=1))
@@ -182,7 +186,7 @@ def repeated_windows(texts: list[bytes], depth: int = SPAN) -> list[np.ndarray]:
     order, owner = suffix_array(texts, depth)
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.repeat(np.cumsum(sizes), sizes)
-    lcp = adjacent_lcp(joined, order, ends, depth)
+    lcp = adjacent_lcp(joined, order, ends, depth, depth)
     deep = lcp >= depth
     deep[:-1] |= deep[1:]
     hit, who = order[deep], owner[deep]
@@ -193,17 +197,32 @@ def repeated_windows(texts: list[bytes], depth: int = SPAN) -> list[np.ndarray]:
     return [hit[cuts[k] : cuts[k + 1]] - base[k] for k in range(len(texts))]
 
 
+#: A window holds so many bytes before its anchor or behind it.
+_SIDE = (SPAN - GRAM + 1) // 2
+
+
+def with_partners(segments_of_anchor: dict[tuple[bytes, int], tuple]) -> list[tuple[bytes, int]]:
+    """Of one anchor's segments (bytes, place of the anchor) those that agree with another in all of one side of a window; others have no repeated window."""
+    left, right = Counter(), Counter()
+    for data, at in segments_of_anchor:
+        if at >= _SIDE:
+            left[data[at - _SIDE : at]] += 1
+        if len(data) - at - GRAM >= _SIDE:
+            right[data[at + GRAM : at + GRAM + _SIDE]] += 1
+    return [(data, at) for data, at in segments_of_anchor if (at >= _SIDE and left[data[at - _SIDE : at]] > 1) or (len(data) - at - GRAM >= _SIDE and right[data[at + GRAM : at + GRAM + _SIDE]] > 1)]
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc", "u", "key", "seg", "first", "last"]
+    names = ["doc", "u", "key", "seg", "first", "last", "anchor"]
     for batch in batches:
-        docs, keys, segs, firsts, lasts, us, size = [], [], [], [], [], [], 0
+        docs, keys, segs, firsts, lasts, places, us = [], [], [], [], [], [], []
         for doc, u, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             data = (text or "").encode("utf-8", "surrogatepass")
-            key, first, last = segments(data)
+            key, first, last, place = segments(data)
             if not len(key):
                 continue
             h = xxhash.xxh3_64_intdigest
@@ -211,10 +230,11 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(key)
             firsts.append(first)
             lasts.append(last)
+            places.append(place)
             docs.append(np.full(len(key), doc, np.int64))
             us.append(np.full(len(key), u, np.int64))
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(us)), pa.array(_signed(np.concatenate(keys))), pa.array(_signed(np.concatenate(segs))), pa.array(np.concatenate(firsts).astype(np.int32)), pa.array(np.concatenate(lasts).astype(np.int32))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(us)), pa.array(_signed(np.concatenate(keys))), pa.array(_signed(np.concatenate(segs))), pa.array(np.concatenate(firsts).astype(np.int32)), pa.array(np.concatenate(lasts).astype(np.int32)), pa.array(np.concatenate(places).astype(np.int32))], names=names)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,9 +243,9 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc, u, text, wanted in zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("doc", "u", "text", "wanted")), strict=True):
             data = (text or "").encode("utf-8", "surrogatepass")
-            rows += [(w["key"], doc, u, w["first"], w["full"], data[w["first"] : w["last"] + SPAN]) for w in wanted]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=["key", "doc", "u", "first", "full", "bytes"])
+            rows += [(w["key"], doc, u, w["first"], w["anchor"] - w["first"], w["full"], data[w["first"] : w["last"] + SPAN]) for w in wanted]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=["key", "doc", "u", "first", "anchor", "full", "bytes"])
 
 
 def _runs(places: np.ndarray) -> list[tuple[int, int]]:
@@ -237,24 +257,33 @@ def _runs(places: np.ndarray) -> list[tuple[int, int]]:
 
 def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments in order of their anchors to the repeated runs of those that aren't repeated whole."""
-    block: dict[tuple[int, bytes], tuple] = {}
+    block: list[tuple[bytes, tuple]] = []
+    own: dict[tuple[bytes, int], tuple] = {}
     size, last = 0, None
 
+    def close() -> None:
+        nonlocal size
+        for k in with_partners(own):
+            block.append((k[0], own[k]))
+            size += len(k[0])
+        own.clear()
+
     def done() -> pa.RecordBatch:
-        found = repeated_windows([b for _, b in block])
-        rows = [(doc, u, first + a, first + b + SPAN) for (doc, u, first, full), places in zip(block.values(), found, strict=True) if not full for a, b in _runs(places)]
+        found = repeated_windows([b for b, _ in block])
+        rows = [(doc, u, first + a, first + b + SPAN) for (_, (doc, u, first, full)), places in zip(block, found, strict=True) if not full for a, b in _runs(places)]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc", "u", "from", "to"])
 
     for batch in batches:
-        for key, doc, u, first, full, data in zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("key", "doc", "u", "first", "full", "bytes")), strict=True):
-            if size >= SORTED and key != last:
-                yield done()
-                block, size = {}, 0
-            last = key
-            if (key, data) not in block:
-                block[key, data] = (doc, u, first, full)
-                size += len(data)
+        for key, doc, u, first, anchor, full, data in zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("key", "doc", "u", "first", "anchor", "full", "bytes")), strict=True):
+            if key != last:
+                close()
+                if size >= SORTED:
+                    yield done()
+                    block, size = [], 0
+                last = key
+            own.setdefault((data, anchor), (doc, u, first, full))
+    close()
     if block:
         yield done()
 
@@ -295,19 +324,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for every row; kept: the remaining bytes."""
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     named = named.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("u"), "text")
-    anchors = named.select("doc", "u", "text").mapInArrow(_anchors, "doc long, u long, key long, seg long, first int, last int")
+    anchors = named.select("doc", "u", "text").mapInArrow(_anchors, "doc long, u long, key long, seg long, first int, last int, anchor int")
     counts = anchors.groupBy("key", "seg").agg(F.count("*").alias("n"))
     keys = counts.groupBy(F.col("key").alias("_key")).agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1")
     state = counts.join(keys, F.col("key") == F.col("_key")).select(F.col("key").alias("_key"), F.col("seg").alias("_seg"), (F.col("n") > 1).alias("full"), (F.col("kinds") > 1).alias("mixed"))
-    found = materialize(anchors.join(state, (F.col("key") == F.col("_key")) & (F.col("seg") == F.col("_seg"))).select("doc", "u", "key", "seg", "first", "last", "full", "mixed"))
+    found = materialize(anchors.join(state, (F.col("key") == F.col("_key")) & (F.col("seg") == F.col("_seg"))).select("doc", "u", "key", "seg", "first", "last", "anchor", "full", "mixed"))
 
     # one copy of each segment of anchors that have several
     pick = F.xxhash64("doc", "u", "first")
     one = found.where("mixed").groupBy(F.col("key").alias("_key"), F.col("seg").alias("_seg")).agg(F.min(pick).alias("_pick"))
     wanted = found.where("mixed").join(one, (F.col("key") == F.col("_key")) & (F.col("seg") == F.col("_seg")) & (pick == F.col("_pick")))
-    wanted = wanted.groupBy(F.col("doc").alias("_doc"), F.col("u").alias("_u")).agg(F.collect_list(F.struct("key", "first", "last", "full")).alias("wanted"))
+    wanted = wanted.groupBy(F.col("doc").alias("_doc"), F.col("u").alias("_u")).agg(F.collect_list(F.struct("key", "first", "last", "anchor", "full")).alias("wanted"))
     here = lambda side: named.join(side, (F.col("doc") == F.col("_doc")) & (F.col("u") == F.col("_u")), "left")
-    sliced = here(wanted).where("wanted IS NOT NULL").select("doc", "u", "text", "wanted").mapInArrow(_slices, "key long, doc long, u long, first int, full boolean, bytes binary")
+    sliced = here(wanted).where("wanted IS NOT NULL").select("doc", "u", "text", "wanted").mapInArrow(_slices, "key long, doc long, u long, first int, anchor int, full boolean, bytes binary")
     partly = sliced.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_blocks, "doc long, u long, from long, to long")
     wholly = found.where("full").select("doc", "u", F.col("first").cast("long").alias("from"), (F.col("last") + SPAN).cast("long").alias("to"))
     spans = materialize(wholly.unionByName(partly)).groupBy(F.col("doc").alias("_doc"), F.col("u").alias("_u")).agg(F.collect_list(F.struct("from", "to")).alias("spans"))
