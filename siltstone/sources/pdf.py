@@ -7,6 +7,7 @@ import zlib
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _STREAM = re.compile(rb"<<(.*?)>>\s*stream\r?\n", re.S)
 _SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\bT[dDm*J]|\bT\*|'|\bET\b|-?\d+(?:\.\d+)?")
@@ -49,6 +50,6 @@ def pdf_text(data: bytes | None) -> str | None:
     return "\n".join(lines) or None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def pdf_text_udf(content: pd.Series) -> pd.Series:
     return content.map(pdf_text)
