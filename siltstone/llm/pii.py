@@ -37,7 +37,7 @@ SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IP = rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
 PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
-NAME = rf"(?<!\p{{L}})(?:{'|'.join(FEMALE + MALE)})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}}){{0,2}}(?!\p{{L}})"
+NAME = rf"(?<!\p{{L}})(?:{'|'.join(FEMALE + MALE)})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: (?!(?:{'|'.join(FEMALE + MALE)})\b)\p{{Lu}}\p{{Ll}}{{1,30}}){{0,2}}(?!\p{{L}})"
 ENTITY = "|".join((EMAIL, CARD, SSN, IP, PHONE, NAME))
 #: Each title holds one of these.
 _STEMS = ("Mr", "Ms", "Miss", "Madam", "Sir", "Herr", "Frau", "Monsieur", "Señor", "Госпо")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import documents, materialize
+from siltstone.llm.common import documents, fresh, materialize
 
 BUCKETS = 1 << 16
 FIT_ROWS = 50_000
@@ -101,10 +101,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> np.ndar
     return np.log((target + SMOOTH) / (expected + SMOOTH))
 
 
-def score(docs: DataFrame, ratios: np.ndarray, columns: list[str], seed: int = SEED) -> DataFrame:
-    """columns of docs and n_grams, log_weight, key (null without n-grams)."""
+def score(docs: DataFrame, ratios: np.ndarray, columns: list[str], seed: int = SEED, names: tuple[str, str, str] = ("n_grams", "log_weight", "key")) -> DataFrame:
+    """columns of docs and, under these names, the number of n-grams, the log weight and the key (null without n-grams)."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
-    schema = docs.select(*columns).schema.add("n_grams", "long").add("log_weight", "double").add("key", "double")
+    schema = docs.select(*columns).schema.add(names[0], "long").add(names[1], "double").add(names[2], "double")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = shared.value
@@ -118,7 +118,7 @@ def score(docs: DataFrame, ratios: np.ndarray, columns: list[str], seed: int = S
                 key.append(weight[-1] - float(np.log(-np.log(min(u, 1 - 1e-16)))) if len(b) else None)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(n, pa.int64()), pa.array(weight, pa.float64()), pa.array(key, pa.float64())], names=schema.names)
 
-    return docs.select(*columns, F.col("doc_id").alias("_doc"), F.col("text").alias("_text")).mapInArrow(scored, schema)
+    return docs.select(*columns, F.col("doc_id"), F.col("text")).mapInArrow(scored, schema)
 
 
 def kth_largest(values: DataFrame, column: str, k: int) -> float | None:
@@ -168,9 +168,10 @@ def resample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed:
     cut = best_cut(narrow, labels)
     k = narrow.where("n_grams > 0" if cut is None else F.expr("n_grams > 0") & (F.col("log_weight") / LENGTH >= cut)).count()
     least = kth_largest(narrow, "key", k) if k else None
-    enough = F.lit(False) if least is None else F.coalesce(_ordered(F.col("key")) >= _ordered(F.lit(least)), F.lit(False))
-    kept = score(docs, ratios, docs.columns, seed).where(enough).select(*docs.columns)
-    return kept, narrow.withColumn("kept", enough)
+    enough = lambda key: F.lit(False) if least is None else F.coalesce(_ordered(F.col(key)) >= _ordered(F.lit(least)), F.lit(False))
+    own = tuple(fresh(docs, f"_{c}") for c in ("n_grams", "log_weight", "key"))
+    kept = score(docs, ratios, docs.columns, seed, own).where(enough(own[2])).select(*docs.columns)
+    return kept, narrow.withColumn("kept", enough("key"))
 
 
 def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

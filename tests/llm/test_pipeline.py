@@ -1,0 +1,44 @@
+"""The pipeline against each stage's meaning, worked out from the stage before."""
+
+import re
+from collections import Counter
+
+import pytest
+
+pytest.importorskip("siltstone.llm")
+import corpus_pipeline as P  # noqa: E402
+from siltstone.llm.common import documents, materialize  # noqa: E402
+
+
+def test_stages(spark, sf):
+    docs = documents(spark, sf)
+    columns = docs.columns
+    after = {}
+    for name, stage in P.STAGES:
+        docs = materialize(stage(spark, docs, sf))
+        after[name] = docs
+        if name != "packing":
+            assert docs.columns == columns
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    kept = {r.doc_id for r in after["quality"].collect()}
+    assert all(d in kept for d, q in labels.items() if q) and not any(d in kept for d, q in labels.items() if not q)
+
+    texts = {r.doc_id: r.text for r in after["quality"].collect()}
+    single = {r.doc_id for r in after["near_duplicates"].collect()}
+    shingles = {d: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for d, t in texts.items() if (w := t.encode().lower().split())}
+    gone = {b for b in shingles for a in shingles if a < b and 100 * len(shingles[a] & shingles[b]) >= 85 * len(shingles[a] | shingles[b])}
+    assert single == set(texts) - gone
+
+    clean = {r.doc_id: r.text for r in after["secrets"].collect()}
+    assert set(clean) == single and not any(re.search("AKIA[A-Z0-9]{12}|[0-9a-f]{32}", t) for t in clean.values())
+    assert all(clean[d] == texts[d] for d in single if not re.search("(?i)AKIA|[0-9a-f]{32}|(password|passwd|secret|token|api_?key)", texts[d]))
+
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    mixed = [r.text for r in after["mix"].collect()]
+    total = sum(map(size, clean.values()))
+    assert abs(sum(map(size, mixed)) - total) <= 40 and {r.doc_id for r in after["mix"].collect()} <= single
+
+    used = Counter()
+    for r in after["packing"].collect():
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 2048 and sum(1 for r in after["packing"].collect() if r.piece == 0) == len(mixed)
