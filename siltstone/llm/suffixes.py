@@ -38,7 +38,7 @@ SPAN = 200
 GRAM = 32
 _WINDOW = SPAN - GRAM + 1
 #: Bytes sorted together; the segments of one anchor are never split.
-SORTED = 1 << 21
+SORTED = 1 << 19
 
 _P = 0x9E3779B97F4A7C15
 _INV = pow(_P, -1, 1 << 64)
@@ -325,7 +325,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     named = named.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("u"), "text")
     anchors = named.select("doc", "u", "text").mapInArrow(_anchors, "doc long, u long, key long, seg long, first int, last int, anchor int")
-    counts = anchors.groupBy("key", "seg").agg(F.count("*").alias("n"))
+    counts = materialize(anchors.groupBy("key", "seg").agg(F.count("*").alias("n")))
     keys = counts.groupBy(F.col("key").alias("_key")).agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1")
     state = counts.join(keys, F.col("key") == F.col("_key")).select(F.col("key").alias("_key"), F.col("seg").alias("_seg"), (F.col("n") > 1).alias("full"), (F.col("kinds") > 1).alias("mixed"))
     found = materialize(anchors.join(state, (F.col("key") == F.col("_key")) & (F.col("seg") == F.col("_seg"))).select("doc", "u", "key", "seg", "first", "last", "anchor", "full", "mixed"))
