@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,10 +51,11 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def shingle_hashes(text: str | None) -> np.ndarray:
+def shingle_hashes(text: str | bytes | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles. bytes.lower() changes A-Z alone, bytes.split() splits at ASCII white space alone."""
     h = xxhash.xxh3_64_intdigest
-    words = np.array([h(w) for w in (text or "").encode("utf-8", "surrogatepass").lower().split()], dtype=np.uint64)
+    raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+    words = np.array([h(w) for w in raw.lower().split()], dtype=np.uint64)
     if not len(words):
         return words
     width = min(SHINGLE, len(words))
@@ -124,17 +126,27 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "s1", "s2", "bands", "sketch"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole texts, compressed: a third of what their sets of hashes take in a shuffle."""
+    pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "set"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "body"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, set_a, set_b) to the (a, b) that are linked."""
+    """(a, b, body_a, body_b) to the (a, b) that are linked. One side repeats in runs, so its last set is kept."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    last: dict[int, tuple[bytes, np.ndarray]] = {}
+
+    def full(side: int, body: bytes) -> np.ndarray:
+        if side not in last or last[side][0] != body:
+            last[side] = body, shingle_hashes(unpack(body))
+        return last[side][1]
+
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            p, q = full(0, x), full(1, y)
             if 100 * min(len(p), len(q)) < THRESHOLD * max(len(p), len(q)):
                 keep.append(False)
                 continue
@@ -144,11 +156,11 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def confirm(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, sketches: DataFrame, bodies: DataFrame) -> DataFrame:
     """Distinct candidate pairs (a, b) to links: by sketch, then on full sets."""
     one, two = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("p")), sketches.select(F.col("node").alias("b"), F.col("sketch").alias("q"))
     near = pairs.join(one, "a").join(two, "b").mapInArrow(_near, "a long, b long")
-    x, y = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
+    x, y = bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), bodies.select(F.col("node").alias("b"), F.col("body").alias("y"))
     return near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirmed, "a long, b long")
 
 
@@ -161,17 +173,24 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _between(best: bool):
-    """Pairs of one bucket between different components, in blocks: each member's nearest, or all within MAX_XOR."""
+    """Pairs of one bucket between different components, in blocks: the nearest of each member outside the bucket's largest component, or all within MAX_XOR.
+
+    A pair between two components has a member outside the largest one, so that
+    one's members are compared with the others but never with each other.
+    """
 
     def pairs(table: pa.Table) -> pa.Table:
         node, comp = (table.column(k).to_numpy() for k in ("node", "comp"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
+        names, counts = np.unique(comp, return_counts=True)
+        rest = np.flatnonzero(comp != names[counts.argmax()])
         a, b = [], []
-        for i in range(0, len(node), 512):
-            near_d, near_j = np.full(min(512, len(node) - i), MAX_XOR + 1), np.zeros(min(512, len(node) - i), np.int64)
-            for j in range(0 if best else i, len(node), 2048):
-                d = np.bitwise_count(sketch[i : i + 512, None] ^ sketch[None, j : j + 2048]).sum(axis=2, dtype=np.int64)
-                d[comp[i : i + 512, None] == comp[None, j : j + 2048]] = MAX_XOR + 1
+        for i in range(0, len(rest), 512):
+            own = rest[i : i + 512]
+            near_d, near_j = np.full(len(own), MAX_XOR + 1), np.zeros(len(own), np.int64)
+            for j in range(0, len(node), 2048):
+                d = np.bitwise_count(sketch[own, None] ^ sketch[None, j : j + 2048]).sum(axis=2, dtype=np.int64)
+                d[comp[own, None] == comp[None, j : j + 2048]] = MAX_XOR + 1
                 if best:
                     k = d.argmin(axis=1)
                     v = d[np.arange(len(k)), k]
@@ -179,13 +198,13 @@ def _between(best: bool):
                     near_d = np.minimum(near_d, v)
                 else:
                     p, q = np.nonzero(d <= MAX_XOR)
-                    a.append(node[p + i])
+                    a.append(node[own[p]])
                     b.append(node[q + j])
             if best:
                 ok = near_d <= MAX_XOR
-                a.append(node[i : i + 512][ok])
+                a.append(node[own[ok]])
                 b.append(node[near_j[ok]])
-        a, b = np.concatenate(a), np.concatenate(b)
+        a, b = (np.concatenate(x) if x else node[:0] for x in (a, b))
         lo, hi = np.minimum(a, b), np.maximum(a, b)
         two = np.unique(np.stack([lo, hi], 1)[lo != hi], axis=0)
         return pa.table({"a": pa.array(two[:, 0], pa.int64()), "b": pa.array(two[:, 1], pa.int64())})
@@ -226,10 +245,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = member.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("key", "first")
     member = materialize(member.join(shared, "key"))
     sketches = materialize(nodes.select("node", "sketch").join(member.select("node").distinct(), "node"))
-    sets = materialize(own.select(F.col("doc_id").alias("node"), "text").join(sketches.select("node"), "node").select("node", "text").mapInArrow(_sets, "node long, set binary").distinct())
+    packed = own.where("doc_id IS NOT NULL").mapInArrow(_packed, "node long, body binary")
+    bodies = materialize(packed.join(sketches.select("node"), "node").select("node", "body").distinct())  # distinct where the join has dealt them
 
     tested = materialize(member.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
-    links = materialize(confirm(tested, sketches, sets))
+    links = materialize(confirm(tested, sketches, bodies))
     comp = components(links)
     for best in (True, False):
         now = member.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
@@ -237,7 +257,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_ = now.join(mixed, "key").join(sketches, "node").select("key", "node", "comp", "sketch")
         pairs = materialize(open_.groupBy("key").applyInArrow(_between(best), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"))
         tested = tested.unionByName(pairs)
-        links = materialize(links.union(confirm(pairs, sketches, sets)))
+        links = materialize(links.union(confirm(pairs, sketches, bodies)))
         comp = components(links)
 
     of = signed.join(classes.select("s1", "s2", "node"), ["s1", "s2"], "left").join(comp, "node", "left")
