@@ -4,11 +4,12 @@
    first 192 form 32 bands of 6; all 512 are folded into a 2,048-bit parity
    bitmap, the odd sketch.
 2. Documents with the same set form a class; only its smallest doc_id goes on.
-3. Candidates share a band. They come in three rounds, so that a group of
-   copies never gives all its pairs: each document with the smallest of its
-   bucket; then with the most alike one of another component in its bucket;
-   then, in buckets that still hold several components, what is left between
-   different components. No pair is tested twice.
+3. Candidates share a band. They come in rounds, so that a group of copies
+   never gives all its pairs: each document with the smallest of its bucket in
+   the first 4 bands; then, in all bands but only in buckets that still hold
+   several components, with the first of the bucket; then with the most alike
+   one of another component there; then what is left between different
+   components. No pair is tested twice.
 4. XOR population counts of the sketches estimate the Jaccard similarity and
    drop candidates far below the threshold; all others are confirmed on full
    sets. Links never rest on an estimate.
@@ -37,6 +38,8 @@ from siltstone.llm.common import documents, materialize
 
 SHINGLE = 5
 SAMPLES, BANDS, ROWS = 512, 32, 6
+#: Bands of the first round.
+FIRST_BANDS = 4
 SKETCH_BITS = 2048
 #: Links need 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 85
@@ -176,12 +179,15 @@ def _between(best: bool):
     """Pairs of one bucket between different components, in blocks: the nearest of each member outside the bucket's largest component, or all within MAX_XOR.
 
     A pair between two components has a member outside the largest one, so that
-    one's members are compared with the others but never with each other.
+    one's members are compared with the others but never with each other. All
+    within MAX_XOR: in the first of the buckets that the two share, no other.
     """
 
     def pairs(table: pa.Table) -> pa.Table:
         node, comp = (table.column(k).to_numpy() for k in ("node", "comp"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
+        key = table.column("key")[0].as_py() if len(node) else 0
+        band = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
         names, counts = np.unique(comp, return_counts=True)
         rest = np.flatnonzero(comp != names[counts.argmax()])
         a, b = [], []
@@ -198,8 +204,11 @@ def _between(best: bool):
                     near_d = np.minimum(near_d, v)
                 else:
                     p, q = np.nonzero(d <= MAX_XOR)
-                    a.append(node[own[p]])
-                    b.append(node[q + j])
+                    for k in range(0, len(p), 1 << 16):
+                        x, y = own[p[k : k + (1 << 16)]], q[k : k + (1 << 16)] + j
+                        here = band[x, (band[x] == band[y]).argmax(axis=1)] == key
+                        a.append(node[x[here]])
+                        b.append(node[y[here]])
             if best:
                 ok = near_d <= MAX_XOR
                 a.append(node[own[ok]])
@@ -234,6 +243,29 @@ def components(links: DataFrame) -> DataFrame:
         last = now
 
 
+def _open(nodes: DataFrame) -> DataFrame:
+    """(key, node, comp, lo) of the buckets that hold several components; lo is the (comp, node) that comes first."""
+    member = nodes.select("node", "comp", F.explode("bands").alias("key"))
+    ends = member.groupBy("key").agg(F.min(F.struct("comp", "node")).alias("lo"), F.max("comp").alias("hi")).where("lo.comp < hi").select("key", "lo")
+    return member.join(ends, "key").select("key", "node", "comp", "lo")
+
+
+def _with_first(open_: DataFrame) -> DataFrame:
+    """Each member with its bucket's first, where their components differ."""
+    return open_.where("comp <> lo.comp").select(F.least("node", "lo.node").alias("a"), F.greatest("node", "lo.node").alias("b")).distinct()
+
+
+def _in_buckets(open_: DataFrame, sketches: DataFrame, best: bool) -> DataFrame:
+    return open_.select("key", "node", "comp").join(sketches, "node").select("key", "node", "comp", "bands", "sketch").groupBy("key").applyInArrow(_between(best), "a long, b long").distinct()
+
+
+def _bodies(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The packed texts of the documents in pairs."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    packed = docs.where("doc_id IS NOT NULL").mapInArrow(_packed, "node long, body binary")
+    return materialize(packed.join(nodes, "node").select("node", "body").distinct())  # distinct where the join has dealt them
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -241,21 +273,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
     nodes = materialize(usable.join(classes.select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), "node"), (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("doc_id") == F.col("node"))).select("node", "bands", "sketch").dropDuplicates(["node"]))
-    member = nodes.select("node", F.explode("bands").alias("key"))
-    shared = member.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("key", "first")
-    member = materialize(member.join(shared, "key"))
-    sketches = materialize(nodes.select("node", "sketch").join(member.select("node").distinct(), "node"))
-    packed = own.where("doc_id IS NOT NULL").mapInArrow(_packed, "node long, body binary")
-    bodies = materialize(packed.join(sketches.select("node"), "node").select("node", "body").distinct())  # distinct where the join has dealt them
-
-    tested = materialize(member.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
-    links = materialize(confirm(tested, sketches, bodies))
+    # A few bands first: they link most of a group, so that the others hold little that isn't yet in one component.
+    few = _open(nodes.select("node", F.slice("bands", 1, FIRST_BANDS).alias("bands"), F.col("node").alias("comp")))
+    tested = materialize(_with_first(few))
+    bodies = _bodies(own, tested)
+    links = materialize(confirm(tested, nodes, bodies))
     comp = components(links)
-    for best in (True, False):
+
+    member = materialize(_open(nodes.select("node", "bands").join(comp, "node", "left").select("node", "bands", F.coalesce("comp", "node").alias("comp"))))
+    sketches = materialize(nodes.select("node", "bands", "sketch").join(member.select("node").distinct(), "node"))
+    bodies = _bodies(own, sketches.select(F.col("node").alias("a"), F.col("node").alias("b")))
+    for pick in (_with_first, lambda now: _in_buckets(now, sketches, True), lambda now: _in_buckets(now, sketches, False)):
         now = member.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        open_ = now.join(mixed, "key").join(sketches, "node").select("key", "node", "comp", "sketch")
-        pairs = materialize(open_.groupBy("key").applyInArrow(_between(best), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"))
+        ends = now.groupBy("key").agg(F.min(F.struct("comp", "node")).alias("lo"), F.max("comp").alias("hi")).where("lo.comp < hi").select("key", "lo")
+        pairs = materialize(pick(now.join(ends, "key")).join(tested, ["a", "b"], "left_anti"))
         tested = tested.unionByName(pairs)
         links = materialize(links.union(confirm(pairs, sketches, bodies)))
         comp = components(links)
