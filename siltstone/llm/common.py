@@ -39,6 +39,13 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few of them are Python objects at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def string_view(batch: pa.RecordBatch, name: str) -> list[str]:
     """A text column as Python strings, null as empty."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]

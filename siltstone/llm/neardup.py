@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import documents, materialize
+from siltstone.llm.common import documents, materialize, slices
 
 SHINGLE = 5
 SAMPLES, BANDS, ROWS = 512, 32, 6
@@ -111,7 +111,7 @@ def _long(x: int) -> int:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         n, s1, s2, bands, sketches = [], [], [], [], []
         for text in batch.column(1).to_pylist():
             hashes = shingle_hashes(text)
@@ -132,7 +132,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole texts, compressed: a third of what their sets of hashes take in a shuffle."""
     pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
+    for batch in slices(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "body"])
 
 

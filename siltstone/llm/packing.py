@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import documents, materialize
+from siltstone.llm.common import documents, materialize, slices
 
 LENGTH = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Id appended to each document.
 END = 0
 #: Words kept with their ids in each Python worker.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 150_000
 #: Pieces ranked together.
 RANKED = 50_000
 #: Rounds of local search at most; each must increase the squared fill.
@@ -106,7 +106,7 @@ def encoder(path: str) -> Encoder:
 def _pieces(path: str, id_type: pa.DataType):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path), END.to_bytes(4, "little")
-        for batch in batches:
+        for batch in slices(batches):
             row, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 ids = encode(text or "") + end

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import documents, fresh, materialize
+from siltstone.llm.common import documents, fresh, materialize, slices
 
 BUCKETS = 1 << 16
 FIT_ROWS = 50_000
@@ -53,7 +53,7 @@ class _Hashes(dict):
 
     def __missing__(self, token: str) -> int:
         h = xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass"))
-        if len(self) < 500_000:
+        if len(self) < 100_000:
             self[token] = h
         return h
 
@@ -71,7 +71,7 @@ def ngram_buckets(text: str | None) -> np.ndarray:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for batch in batches:
+    for batch in slices(batches):
         for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found = np.bincount(ngram_buckets(text), minlength=BUCKETS) if len(text or "") > 50_000 else None
             if found is not None:
@@ -106,19 +106,22 @@ def score(docs: DataFrame, ratios: np.ndarray, columns: list[str], seed: int = S
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
     schema = docs.select(*columns).schema.add(names[0], "long").add(names[1], "double").add(names[2], "double")
 
+    more = [c for c in ("doc_id", "text") if c not in columns]  # no text travels twice
+    width, (doc_at, text_at) = len(columns), ([*columns, *more].index(c) for c in ("doc_id", "text"))
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             n, weight, key = [], [], []
-            for doc, text in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            for doc, text in zip(batch.column(doc_at).to_pylist(), batch.column(text_at).to_pylist(), strict=True):
                 b = ngram_buckets(text)
                 n.append(len(b))
                 weight.append(float(ratio[b].mean()) * LENGTH if len(b) else 0.0)
                 u = (xxhash.xxh3_64_intdigest(f"{doc}\x1f{text}".encode("utf-8", "surrogatepass"), seed=seed) + 0.5) / 2**64
                 key.append(weight[-1] - float(np.log(-np.log(min(u, 1 - 1e-16)))) if len(b) else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(n, pa.int64()), pa.array(weight, pa.float64()), pa.array(key, pa.float64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(n, pa.int64()), pa.array(weight, pa.float64()), pa.array(key, pa.float64())], names=schema.names)
 
-    return docs.select(*columns, F.col("doc_id"), F.col("text")).mapInArrow(scored, schema)
+    return docs.select(*columns, *more).mapInArrow(scored, schema)
 
 
 def kth_largest(values: DataFrame, column: str, k: int) -> float | None:
