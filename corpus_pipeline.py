@@ -19,12 +19,16 @@ from siltstone.llm.quality import resample
 from siltstone.llm.secrets import redacted
 
 
+#: Near copies share 80 % of their shingles; op2's contract has a threshold of its own.
+NEAR = 80
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))[0]
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_near_duplicates(docs)
+    return without_near_duplicates(docs, NEAR)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """MinHash near-duplicate detection with odd sketches.
 
 1. Each document's set of five-word shingles becomes 512 MinHash samples. The
-   first 192 form 32 bands of 6; all 512 are folded into a 2,048-bit parity
+   first ones form bands of 6; all 512 are folded into a 2,048-bit parity
    bitmap, the odd sketch.
 2. Documents with the same set form a class; only its smallest doc_id goes on.
 3. Candidates share a band. They come in rounds, so that a group of copies
@@ -14,8 +14,9 @@
    drop candidates far below the threshold; all others are confirmed on full
    sets. Links never rest on an estimate.
 
-A pair at the threshold of 0.85 shares none of the bands with a probability of
-(1 - 0.85 ** 6) ** 32, under 3e-7.
+A pair at the threshold t shares none of n bands with a probability of
+(1 - t ** 6) ** n; n follows from t so that this is under 3e-7: 32 bands at
+0.85, 50 at 0.80.
 
 Cases: null, empty or blank text has no shingles and links with nothing; with
 fewer words than five the whole sequence is the one shingle; rows that share a
@@ -25,6 +26,7 @@ nothing, has a null component and is kept. Extra columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,14 +39,16 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import documents, materialize, slices
 
 SHINGLE = 5
-SAMPLES, BANDS, ROWS = 512, 32, 6
+SAMPLES, ROWS = 512, 6
 #: Bands of the first round.
 FIRST_BANDS = 4
 SKETCH_BITS = 2048
-#: Links need 100 * intersection >= THRESHOLD * union.
+#: Links need 100 * intersection >= threshold * union; this is op2's threshold.
 THRESHOLD = 85
-#: Candidates whose estimate is more than this below the threshold are dropped: 4.7 standard errors of 512 samples at 0.85.
-MARGIN = 0.074
+#: A pair at the threshold shares no band with at most this probability.
+BAND_MISS = 3e-7
+#: Candidates whose estimate is so many standard errors of the samples below the threshold are dropped.
+ERRORS = 4.7
 
 _RNG = np.random.default_rng(20240601)
 _A = _RNG.integers(0, 2**32, SAMPLES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -97,36 +101,40 @@ def estimate(xor_counts: np.ndarray) -> np.ndarray:
     return 1 + SKETCH_BITS / (4.0 * SAMPLES) * np.log1p(-share)
 
 
-def _max_xor() -> int:
-    counts = np.arange(SKETCH_BITS // 2)
-    return int(counts[estimate(counts) >= THRESHOLD / 100 - MARGIN].max())
+def n_bands(threshold: int) -> int:
+    return math.ceil(math.log(BAND_MISS) / math.log1p(-((threshold / 100) ** ROWS)))
 
 
-#: Differing bits up to which a candidate is confirmed on full sets.
-MAX_XOR = _max_xor()
+def max_xor(threshold: int) -> int:
+    """Differing bits up to which a candidate is confirmed on full sets."""
+    t, counts = threshold / 100, np.arange(SKETCH_BITS // 2)
+    return int(counts[estimate(counts) >= t - ERRORS * math.sqrt(t * (1 - t) / SAMPLES)].max())
 
 
 def _long(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        n, s1, s2, bands, sketches = [], [], [], [], []
-        for text in batch.column(1).to_pylist():
-            hashes = shingle_hashes(text)
-            n.append(len(hashes))
-            if not len(hashes):
-                for to in (s1, s2, bands, sketches):
-                    to.append(None)
-                continue
-            whole = xxhash.xxh3_128_intdigest(hashes.tobytes())
-            s1.append(_long(whole >> 64))
-            s2.append(_long(whole & (1 << 64) - 1))
-            samples = minhash(hashes)
-            bands.append([_long(xxhash.xxh3_64_intdigest(samples[k * ROWS : (k + 1) * ROWS].tobytes(), seed=k)) for k in range(BANDS)])
-            sketches.append(odd_sketch(samples))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "s1", "s2", "bands", "sketch"])
+def _signatures(n: int):
+    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sizes, s1, s2, bands, sketches = [], [], [], [], []
+            for text in batch.column(1).to_pylist():
+                hashes = shingle_hashes(text)
+                sizes.append(len(hashes))
+                if not len(hashes):
+                    for to in (s1, s2, bands, sketches):
+                        to.append(None)
+                    continue
+                whole = xxhash.xxh3_128_intdigest(hashes.tobytes())
+                s1.append(_long(whole >> 64))
+                s2.append(_long(whole & (1 << 64) - 1))
+                samples = minhash(hashes)
+                bands.append([_long(xxhash.xxh3_64_intdigest(samples[k * ROWS : (k + 1) * ROWS].tobytes(), seed=k)) for k in range(n)])
+                sketches.append(odd_sketch(samples))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "s1", "s2", "bands", "sketch"])
+
+    return signatures
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,51 +144,58 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "body"])
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirmed(threshold: int):
     """(a, b, body_a, body_b) to the (a, b) that are linked. One side repeats in runs, so its last set is kept."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    last: dict[int, tuple[bytes, np.ndarray]] = {}
-
-    def full(side: int, body: bytes) -> np.ndarray:
-        if side not in last or last[side][0] != body:
-            last[side] = body, shingle_hashes(unpack(body))
-        return last[side][1]
-
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            p, q = full(0, x), full(1, y)
-            if 100 * min(len(p), len(q)) < THRESHOLD * max(len(p), len(q)):
-                keep.append(False)
-                continue
-            at = np.searchsorted(q, p)
-            both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-            keep.append(100 * both >= THRESHOLD * (len(p) + len(q) - both))
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-
-def confirm(pairs: DataFrame, sketches: DataFrame, bodies: DataFrame) -> DataFrame:
+
+    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        last: dict[int, tuple[bytes, np.ndarray]] = {}
+
+        def full(side: int, body: bytes) -> np.ndarray:
+            if side not in last or last[side][0] != body:
+                last[side] = body, shingle_hashes(unpack(body))
+            return last[side][1]
+
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                p, q = full(0, x), full(1, y)
+                if 100 * min(len(p), len(q)) < threshold * max(len(p), len(q)):
+                    keep.append(False)
+                    continue
+                at = np.searchsorted(q, p)
+                both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
+                keep.append(100 * both >= threshold * (len(p) + len(q) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return confirmed
+
+
+def confirm(pairs: DataFrame, sketches: DataFrame, bodies: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Distinct candidate pairs (a, b) to links: by sketch, then on full sets."""
     one, two = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("p")), sketches.select(F.col("node").alias("b"), F.col("sketch").alias("q"))
-    near = pairs.join(one, "a").join(two, "b").mapInArrow(_near, "a long, b long")
+    near = pairs.join(one, "a").join(two, "b").mapInArrow(_near(max_xor(threshold)), "a long, b long")
     x, y = bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), bodies.select(F.col("node").alias("b"), F.col("body").alias("y"))
-    return near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirmed, "a long, b long")
+    return near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirmed(threshold), "a long, b long")
+
 
+def _near(most: int):
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.select(["a", "b", "p", "q"])
+            if batch.num_rows:
+                p, q = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (2, 3))
+                yield batch.select([0, 1]).filter(pa.array(np.bitwise_count(p ^ q).sum(axis=1) <= most))
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        batch = batch.select(["a", "b", "p", "q"])
-        if batch.num_rows:
-            p, q = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array(np.bitwise_count(p ^ q).sum(axis=1) <= MAX_XOR))
+    return near
 
 
-def _between(best: bool):
-    """Pairs of one bucket between different components, in blocks: the nearest of each member outside the bucket's largest component, or all within MAX_XOR.
+def _between(best: bool, most: int):
+    """Pairs of one bucket between different components, in blocks: the nearest of each member outside the bucket's largest component, or all within `most` differing bits.
 
     A pair between two components has a member outside the largest one, so that
     one's members are compared with the others but never with each other. All
-    within MAX_XOR: in the first of the buckets that the two share, no other.
+    within `most`: in the first of the buckets that the two share, no other.
     """
 
     def pairs(table: pa.Table) -> pa.Table:
@@ -193,24 +208,24 @@ def _between(best: bool):
         a, b = [], []
         for i in range(0, len(rest), 512):
             own = rest[i : i + 512]
-            near_d, near_j = np.full(len(own), MAX_XOR + 1), np.zeros(len(own), np.int64)
+            near_d, near_j = np.full(len(own), most + 1), np.zeros(len(own), np.int64)
             for j in range(0, len(node), 2048):
                 d = np.bitwise_count(sketch[own, None] ^ sketch[None, j : j + 2048]).sum(axis=2, dtype=np.int64)
-                d[comp[own, None] == comp[None, j : j + 2048]] = MAX_XOR + 1
+                d[comp[own, None] == comp[None, j : j + 2048]] = most + 1
                 if best:
                     k = d.argmin(axis=1)
                     v = d[np.arange(len(k)), k]
                     near_j = np.where(v < near_d, k + j, near_j)
                     near_d = np.minimum(near_d, v)
                 else:
-                    p, q = np.nonzero(d <= MAX_XOR)
+                    p, q = np.nonzero(d <= most)
                     for k in range(0, len(p), 1 << 16):
                         x, y = own[p[k : k + (1 << 16)]], q[k : k + (1 << 16)] + j
                         here = band[x, (band[x] == band[y]).argmax(axis=1)] == key
                         a.append(node[x[here]])
                         b.append(node[y[here]])
             if best:
-                ok = near_d <= MAX_XOR
+                ok = near_d <= most
                 a.append(node[own[ok]])
                 b.append(node[near_j[ok]])
         a, b = (np.concatenate(x) if x else node[:0] for x in (a, b))
@@ -255,8 +270,8 @@ def _with_first(open_: DataFrame) -> DataFrame:
     return open_.where("comp <> lo.comp").select(F.least("node", "lo.node").alias("a"), F.greatest("node", "lo.node").alias("b")).distinct()
 
 
-def _in_buckets(open_: DataFrame, sketches: DataFrame, best: bool) -> DataFrame:
-    return open_.select("key", "node", "comp").join(sketches, "node").select("key", "node", "comp", "bands", "sketch").groupBy("key").applyInArrow(_between(best), "a long, b long").distinct()
+def _in_buckets(open_: DataFrame, sketches: DataFrame, best: bool, threshold: int) -> DataFrame:
+    return open_.select("key", "node", "comp").join(sketches, "node").select("key", "node", "comp", "bands", "sketch").groupBy("key").applyInArrow(_between(best, max_xor(threshold)), "a long, b long").distinct()
 
 
 def _bodies(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -266,10 +281,10 @@ def _bodies(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(packed.join(nodes, "node").select("node", "body").distinct())  # distinct where the join has dealt them
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialize(own.mapInArrow(_signatures, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary"))
+    signed = materialize(own.mapInArrow(_signatures(n_bands(threshold)), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary"))
     usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
     nodes = materialize(usable.join(classes.select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), "node"), (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("doc_id") == F.col("node"))).select("node", "bands", "sketch").dropDuplicates(["node"]))
@@ -277,18 +292,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     few = _open(nodes.select("node", F.slice("bands", 1, FIRST_BANDS).alias("bands"), F.col("node").alias("comp")))
     tested = materialize(_with_first(few))
     bodies = _bodies(own, tested)
-    links = materialize(confirm(tested, nodes, bodies))
+    links = materialize(confirm(tested, nodes, bodies, threshold))
     comp = components(links)
 
     member = materialize(_open(nodes.select("node", "bands").join(comp, "node", "left").select("node", "bands", F.coalesce("comp", "node").alias("comp"))))
     sketches = materialize(nodes.select("node", "bands", "sketch").join(member.select("node").distinct(), "node"))
     bodies = _bodies(own, sketches.select(F.col("node").alias("a"), F.col("node").alias("b")))
-    for pick in (_with_first, lambda now: _in_buckets(now, sketches, True), lambda now: _in_buckets(now, sketches, False)):
+    for pick in (_with_first, lambda now: _in_buckets(now, sketches, True, threshold), lambda now: _in_buckets(now, sketches, False, threshold)):
         now = member.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
         ends = now.groupBy("key").agg(F.min(F.struct("comp", "node")).alias("lo"), F.max("comp").alias("hi")).where("lo.comp < hi").select("key", "lo")
         pairs = materialize(pick(now.join(ends, "key")).join(tested, ["a", "b"], "left_anti"))
         tested = tested.unionByName(pairs)
-        links = materialize(links.union(confirm(pairs, sketches, bodies)))
+        links = materialize(links.union(confirm(pairs, sketches, bodies, threshold)))
         comp = components(links)
 
     of = signed.join(classes.select("s1", "s2", "node"), ["s1", "s2"], "left").join(comp, "node", "left")
@@ -300,7 +315,7 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """docs without the rows that aren't kept. All columns stay."""
-    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_doc")).distinct()
+    gone = near_duplicates(docs, threshold=threshold).where("NOT kept").select(F.col("doc_id").alias("_doc")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_doc"], "left_anti")

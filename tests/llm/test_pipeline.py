@@ -1,5 +1,6 @@
 """The pipeline against each stage's meaning, worked out from the stage before."""
 
+import random
 import re
 from collections import Counter
 
@@ -42,3 +43,27 @@ def test_stages(spark, sf):
     for r in after["packing"].collect():
         used[r.sequence_id] += r.length
     assert max(used.values()) <= 2048 and sum(1 for r in after["packing"].collect() if r.piece == 0) == len(mixed)
+
+
+def test_near_duplicates_stage_at_80(spark, sf):
+    """Chains of copies, each a few words from the one before: pairs on both sides of 0.80."""
+    rng = random.Random(8)
+    texts, k = {}, 0
+    for _ in range(30):
+        words = [f"w{rng.randrange(500)}" for _ in range(150)]
+        for changed in range(6):
+            own = list(words)
+            for at in range(changed):
+                own[10 + 25 * at] = f"changed{k}x{at}"
+            texts[k] = " ".join(own)
+            k += 1
+    shingles = {d: frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for d, t in texts.items() if (w := t.split())}
+    alike = {(a, b): 100 * len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b]) for a in texts for b in texts if a < b}
+    assert any(80 <= x < 85 for x in alike.values()) and any(70 <= x < 80 for x in alike.values())
+    comp = {d: d for d in texts}
+    for (a, b), x in sorted(alike.items()):
+        if x >= 80:
+            old, new = max(comp[a], comp[b]), min(comp[a], comp[b])
+            comp = {d: new if c == old else c for d, c in comp.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in P.near_duplicates(spark, docs, sf).collect()} == {d for d in texts if comp[d] == d}
