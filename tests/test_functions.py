@@ -2,6 +2,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from siltstone.functions import html as H
 from siltstone.functions import text as T
 from siltstone.functions import urls as U
 from siltstone.operators import passages as P
@@ -65,3 +66,21 @@ def test_pdf():
     data = b"%PDF-1.4\n1 0 obj <</Filter /FlateDecode>>\nstream\n" + body + b"\nendstream endobj"
     assert pdf_text(data) == "Hello (PDF)\nWorld"
     assert pdf_text(b"no") is None and pdf_text(None) is None
+
+
+def test_linked_dates(spark):
+    """JSON-LD dates of any node: of an array, of @graph, of the only one; from the first script that has one."""
+    plain, graph = '{"name":"x"}', '{"@context":"c","@graph":[%s]}'
+    cases = [
+        (['[%s, null, "x", 7, {"dateModified":"2024-02-03"}, {"datePublished":"2020-01-01"}]' % plain], "2024-02-03"),
+        ([graph % ",".join([plain] * 2 + ['{"datePublished":"2024-02-03"}'])], "2024-02-03"),
+        ([graph % ",".join([plain] * 40 + ['{"datePublished":"soon","dateModified":"2024-02-03T10:00:00Z"}'])], "2024-02-03"),
+        (['\n {"datePublished":"2024-02-03","dateModified":"2025-01-01"}'], "2024-02-03"),
+        (['{"datePublished":"2024-02-03","@graph":null}'], "2024-02-03"),
+        ([graph % plain, "[]", "[broken", "", '\n[%s,{"datePublished":"2024-02-03"}]' % plain], "2024-02-03"),
+        (['{"datePublished":"2020-01-01","@graph":[%s]}' % plain], "2023-07-08"),  # @graph stands in for the rest
+        (["[%s]" % plain], "2023-07-08"),
+    ]
+    rows = [("".join(f'<script type="application/ld+json">{j}</script>' for j in scripts) + '<time datetime="2023-07-08">x</time>', want) for scripts, want in cases]
+    for r in spark.createDataFrame(rows, "html string, want string").select("html", "want", H.extract_date(F.col("html"), F.lit("https://e.com/")).alias("date")).collect():
+        assert r.date == r.want, r.html
