@@ -44,6 +44,15 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
 )
+_GAP = r"""(?:\s|\\[nrt]|["'>#|,])*+"""
+_PEM = (
+    # body up to the END line, with nothing like another such line between
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*+(?:-{1,4}+(?!-)[^-]*+)*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    # or, without END, the base64 run and the shorter piece that ends it
+    rf"|(?:{_GAP}(?:Proc-Type:\s*4,ENCRYPTED|DEK-Info:\s*[A-Z0-9-]++,[0-9A-Fa-f]++))*+(?:{_GAP}[A-Za-z0-9+/=]{{16,}}+)++(?:{_GAP}[A-Za-z0-9+/=]{{1,15}}+)?+|{_GAP}[A-Za-z0-9+/=]{{1,15}}+\s*+\z|)"
+)
+#: For replacing: a key's header is enough to find it, but all of it must go.
+REDACTED = tuple(Rule("pem", _PEM, version=2) if r.kind == "pem" else r for r in RULES)
 BASE = ("assign", "access", "hex")
 LEDGER = "blob string, kind string, version int"
 
@@ -108,8 +117,8 @@ def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("path").alias("doc_id"), *[F.coalesce(f"n_{k}", F.lit(0)).cast("bigint").alias(f"n_{k}") for k in BASE], F.coalesce("base_sha256", none).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
-def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with each secret's value replaced by [SECRET]; all columns and rows stay, n_chars follows the text.
+def redacted(docs: DataFrame, rules: tuple[Rule, ...] = REDACTED) -> DataFrame:
+    """docs with each secret's value replaced by [SECRET], private keys with body and END line; all columns and rows stay, n_chars follows the text.
 
     Rows without findings pass untouched; only the others meet the findings of their blob.
     """
