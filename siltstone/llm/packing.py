@@ -5,16 +5,22 @@ how many pieces there are of each length, a table of 2,048 counts however large
 the corpus. Best fit is run on these counts: a pattern is a multiset of lengths
 with the number of sequences filled that way. The local search then works on
 pairs of underfull patterns: it moves a piece, exchanges one piece for one, or
-two for one, where that increases the sum of squared fills, until the emptiest
-sequences are empty. Every step acts on all sequences of both patterns at once.
+two for one, where that increases the sum of squared fills, the emptiest
+sequences first, until no exchange helps. Every step acts on all sequences of
+both patterns at once. The table of patterns is sent to the workers; it has at
+most one row for each step of best fit and search, however many documents
+there are.
 
 Pieces then find their place by their rank among the pieces of their length;
 ranks are counted in small salted groups, so a length that many pieces share
 doesn't meet in one task.
 
-Cases: null or empty text is the one id 0; longer documents are cut into full
-pieces, the last one shorter; repeated rows are packed one by one; an empty
-table gives an empty result. Extra columns are not read.
+Cases: null or empty text is the one id 0; very long texts are encoded whole and
+cut into full pieces, the last one shorter; the string of an added token such
+as <|endoftext|> in a text becomes that token's id, as the tokenizer's default
+is; repeated rows are packed one by one; pieces of equal length take their
+places in order of doc_id, piece and checksum within their salted group; an
+empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -41,12 +47,10 @@ END = 0
 CACHED_WORDS = 150_000
 #: Pieces ranked together.
 RANKED = 50_000
-#: Rounds of local search at most; each must increase the squared fill.
-ROUNDS = 40
 
 _PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|\d|[²³¹¼½¾]|(?:[^\w\s²³¹¼½¾]|_)+")
 #: Text in which lower(), white space and letters mean to Python what they mean to the tokenizer.
-_RARE = re.compile("[\x1c-\x1fİɐ-\U0010ffff]")
+_RARE = "[\x1c-\x1fİɐ-\U0010ffff]"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -60,14 +64,17 @@ class Encoder:
     """Texts to little-endian 32-bit ids, equal to the tokenizer's own.
 
     Merges never cross white space, so the ids of each word are kept and looked
-    up again. Texts with rarer characters go through the tokenizer whole.
+    up again. Texts with rarer characters, or with the string of one of the
+    tokenizer's added tokens, go through the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Text that the tokenizer must see whole.
+        self.whole = re.compile("|".join([_RARE, *added]))
         self.model, self.letters, self.words, self.parts = self.tokenizer.model, _byte_letters(), {}, {}
 
     def _part(self, part: str) -> bytes:
@@ -86,7 +93,7 @@ class Encoder:
         return found
 
     def __call__(self, text: str) -> bytes:
-        if _RARE.search(text):
+        if self.whole.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words, get, out = text.lower().split(), self.words.get, []
         for w in words:
@@ -162,64 +169,84 @@ def best_fit(counts: dict[int, int], capacity: int = LENGTH) -> Counter[Pattern]
     return done
 
 
-def _better(a: Pattern, b: Pattern, capacity: int) -> tuple[Pattern, Pattern] | None:
-    """The exchange between a, the fuller, and b that raises the squared fill most: fill a further from b."""
-    fa, fb = sum(a), sum(b)
-    free = capacity - fa
-    if not free:
-        return None
-    give, best, gain = sorted(set(b), reverse=True), None, 0
-    for x in give:  # move
-        if gain < x <= free:
-            best, gain = ((), (x,)), x
-    own = sorted(set(a))
-    for y in own:  # one for one, two for one
-        for x in give:
-            if gain < x - y <= free:
-                best, gain = ((y,), (x,)), x - y
-        if len(b) <= 24:
-            seen = set()
-            for i, x in enumerate(b):
-                for z in b[i + 1 :]:
-                    if x + z not in seen and gain < x + z - y <= free:
-                        best, gain = ((y,), (x, z)), x + z - y
-                    seen.add(x + z)
+class _Shape:
+    """A pattern's fill and distinct lengths, with bitsets of what it can give: bit x for a piece of x, or for two of x together."""
+
+    def __init__(self, pattern: Pattern) -> None:
+        self.fill = sum(pattern)
+        self.sizes = sorted(set(pattern))
+        self.one = sum(1 << x for x in self.sizes)
+        twice = {x for x, n in Counter(pattern).items() if n > 1}
+        self.two = 0
+        for x in self.sizes:
+            others = self.one if x in twice else self.one & ~(1 << x)
+            self.two |= others << x
+
+    def parts(self, total: int) -> tuple[int, int]:
+        """Two pieces that are `total` together."""
+        own = set(self.sizes)
+        return next((x, total - x) for x in self.sizes if total - x in own and (self.two >> total) & 1 and x <= total - x)
+
+
+def _exchange(a: _Shape, b: _Shape, capacity: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
+    """What a, the fuller one, gives and gets so that the sum of squared fills grows most; None if nothing helps.
+
+    A move gives nothing for one piece, an exchange one for one or one for two.
+    With a the fuller, each gain of a raises the sum.
+    """
+    free = capacity - a.fill
+    room = (1 << free + 1) - 2  # gains from 1 to what is free
+    best, gain = None, 0
+    for y in (0, *a.sizes):
+        for bits in (b.one, b.two) if y else (b.one,):
+            found = ((bits >> y) & room).bit_length() - 1
+            if found > gain:
+                best, gain = (y, found + y, bits is b.two), found
         if gain == free:
             break
-    if best is None or (gain + fa - fb) <= 0:
+    if best is None:
         return None
-    a, b = list(a), list(b)
-    for y in best[0]:
-        a.remove(y)
-        b.append(y)
-    for x in best[1]:
-        b.remove(x)
-        a.append(x)
-    return tuple(sorted(a, reverse=True)), tuple(sorted(b, reverse=True))
-
-
-def local_search(patterns: Counter[Pattern], capacity: int = LENGTH, rounds: int = ROUNDS) -> Counter[Pattern]:
-    """Exchanges between underfull sequences. Each raises the sum of squared fills, so the search ends."""
+    y, total, two = best
+    return (y,) if y else (), b.parts(total) if two else (total,)
+
+
+def local_search(patterns: Counter[Pattern], capacity: int = LENGTH) -> Counter[Pattern]:
+    """Exchanges between underfull sequences until none is left that raises the sum of squared fills.
+
+    Ends by itself: the sum is a whole number, grows with every exchange and is
+    bounded by capacity times the pieces' total. Each two patterns are looked
+    at once, as they never change; an exchange acts on as many of their
+    sequences as both have and gives other patterns.
+    """
     now = Counter({tuple(sorted(p, reverse=True)): n for p, n in patterns.items() if n})
-    for _ in range(rounds):
-        open_ = sorted((p for p in now if sum(p) < capacity), key=sum)
-        lean, changed = open_[: max(8, len(open_) // 8)][:64], False
-        for b in lean:
+    shapes: dict[Pattern, _Shape] = {}
+    vain: set[tuple[Pattern, Pattern]] = set()
+    changed = True
+    while changed:
+        changed = False
+        for p in now:
+            if p not in shapes:
+                shapes[p] = _Shape(p)
+        open_ = sorted((p for p in now if shapes[p].fill < capacity), key=lambda p: (shapes[p].fill, p))
+        for b in open_:  # the emptiest first
             for a in reversed(open_):
-                if not now[b]:
+                if not now[b] or shapes[a].fill < shapes[b].fill:
                     break
                 n = min(now[a], now[b]) if a != b else now[a] // 2
-                if not n or sum(a) < sum(b) or not (two := _better(a, b, capacity)):
+                if not n or (a, b) in vain:
+                    continue
+                swap = _exchange(shapes[a], shapes[b], capacity)
+                if swap is None:
+                    vain.add((a, b))
                     continue
                 changed = True
+                given, got = map(Counter, swap)
                 now[a] -= n
                 now[b] -= n
-                for p in two:
+                for p in (Counter(a) - given + got, Counter(b) - got + given):
                     if p:
-                        now[p] += n
+                        now[tuple(sorted(p.elements(), reverse=True))] += n
         now = Counter({p: n for p, n in now.items() if n})
-        if not changed:
-            break
     return now
 
 
