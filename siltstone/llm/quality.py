@@ -1,13 +1,19 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed word and word-pair n-grams are counted: one
-of target text (documents labelled good), one of all raw text. A document's
-log weight is the log likelihood ratio of its n-grams, brought to a length of
-``LENGTH`` of them. Gumbel noise, drawn from
-a hash of the document, is added to the log weight and the k largest keys are
-kept: a sample of k without replacement in proportion to the weights. k is the
-number of documents whose mean ratio a n-gram lies on the good side of the cut
-that best separates the labelled documents.
+of target text (documents labelled good), one of all raw text. A document's log weight is
+the log likelihood ratio of its n-grams, the sum over all of them; for one of
+more than ``LENGTH`` n-grams it is that of ``LENGTH`` of them at its mean, so
+that a long text counts as a sample of that size. Raw text is mostly target
+text, which shifts every ratio a n-gram by the same amount; the cut that best
+separates labelled good from bad documents is that amount and is taken off.
+
+Gumbel noise, drawn from a hash of the document, is added to the log weight and
+the k largest keys are kept: a sample of k without replacement in proportion to
+the weights. ``keep`` gives k, as a number or a share of the documents with
+n-grams; without it k is the number of documents that the target model explains
+better (a log weight of 0 or more). Noise decides among documents whose texts
+say little, short ones above all.
 
 The k-th largest key is found from histograms of the key's bits, most
 significant first, so rows are never sorted.
@@ -17,10 +23,12 @@ are read to mark the target text; raw text is counted over every document. The
 model has ``BUCKETS`` counts, whatever the input.
 
 Cases: null, empty or blank text has no n-grams, weight 0, and is rejected;
+very long texts count whole in the models and by their mean in the weight;
 labels that are null, repeated or of unknown documents are harmless (a document
-is good if any of its labels says so); without labels of both kinds the target is all
-text and everything with n-grams is kept. Rows that share id and text get the
-same noise. Extra columns are kept and never read.
+is good if any of its labels says so); without labels of both kinds nothing is
+taken off and, unless ``keep`` says otherwise, everything with n-grams is kept.
+Rows that share id and text get the same noise, and rows of equal keys at the
+k-th place are all kept. Extra columns are kept and never read.
 """
 
 from __future__ import annotations
@@ -31,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,7 +48,7 @@ from siltstone.llm.common import documents, fresh, materialize, slices
 BUCKETS = 1 << 16
 FIT_ROWS = 50_000
 SMOOTH = 4.0
-#: Weights are taken at this number of n-grams, so that they compare texts of any length.
+#: N-grams that a text's weight counts at most.
 LENGTH = 1000
 SEED = 17
 
@@ -101,8 +109,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> np.ndar
     return np.log((target + SMOOTH) / (expected + SMOOTH))
 
 
-def score(docs: DataFrame, ratios: np.ndarray, columns: list[str], seed: int = SEED, names: tuple[str, str, str] = ("n_grams", "log_weight", "key")) -> DataFrame:
-    """columns of docs and, under these names, the number of n-grams, the log weight and the key (null without n-grams)."""
+def score(docs: DataFrame, ratios: np.ndarray, columns: list[str], seed: int = SEED, names: tuple[str, str, str] = ("n_grams", "mean_ratio", "noise")) -> DataFrame:
+    """columns of docs and, under these names, the number of n-grams, their mean log ratio (0 without any) and the document's Gumbel noise."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
     schema = docs.select(*columns).schema.add(names[0], "long").add(names[1], "double").add(names[2], "double")
 
@@ -112,18 +120,22 @@ def score(docs: DataFrame, ratios: np.ndarray, columns: list[str], seed: int = S
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = shared.value
         for batch in slices(batches):
-            n, weight, key = [], [], []
+            n, mean, noise = [], [], []
             for doc, text in zip(batch.column(doc_at).to_pylist(), batch.column(text_at).to_pylist(), strict=True):
                 b = ngram_buckets(text)
                 n.append(len(b))
-                weight.append(float(ratio[b].mean()) * LENGTH if len(b) else 0.0)
+                mean.append(float(ratio[b].mean()) if len(b) else 0.0)
                 u = (xxhash.xxh3_64_intdigest(f"{doc}\x1f{text}".encode("utf-8", "surrogatepass"), seed=seed) + 0.5) / 2**64
-                key.append(weight[-1] - float(np.log(-np.log(min(u, 1 - 1e-16)))) if len(b) else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(n, pa.int64()), pa.array(weight, pa.float64()), pa.array(key, pa.float64())], names=schema.names)
+                noise.append(-float(np.log(-np.log(min(u, 1 - 1e-16)))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(n, pa.int64()), pa.array(mean, pa.float64()), pa.array(noise, pa.float64())], names=schema.names)
 
     return docs.select(*columns, *more).mapInArrow(scored, schema)
 
 
+def log_weight(n_grams: Column, mean_ratio: Column, cut: float) -> Column:
+    return F.least(n_grams, F.lit(LENGTH)) * (mean_ratio - F.lit(cut))
+
+
 def kth_largest(values: DataFrame, column: str, k: int) -> float | None:
     """The k-th largest double, by histograms of 16 bits at a time; null if there are fewer than k values."""
     ordered = _ordered(F.col(column))
@@ -146,7 +158,7 @@ def _ordered(c):
 
 def best_cut(scores: DataFrame, labels: DataFrame) -> float | None:
     """The mean ratio that best separates labelled good from bad documents (balanced accuracy), to 1/64."""
-    mean = F.col("log_weight") / LENGTH
+    mean = F.col("mean_ratio")
     best = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("good")).where("good IS NOT NULL")
     step = F.floor(F.greatest(F.least(mean, F.lit(20.0)), F.lit(-20.0)) * 64).cast("long")
     rows = scores.where("n_grams > 0").join(best, "doc_id").groupBy(step.alias("step")).agg(F.count_if(F.col("good") > 0).alias("good"), F.count_if(F.col("good") <= 0).alias("bad")).collect()  # 2,561 rows at most
@@ -164,17 +176,25 @@ def best_cut(scores: DataFrame, labels: DataFrame) -> float | None:
     return best_at[2]
 
 
-def resample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(documents that are kept with all their columns, narrow scores of every row with kept)."""
+def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, fit_rows: int = FIT_ROWS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(documents that are kept with all their columns, narrow scores of every row with kept and by_weight).
+
+    by_weight: whether the row would be kept without noise.
+    """
     ratios = fit(docs, labels, fit_rows)
-    narrow = materialize(score(docs, ratios, ["doc_id"], seed))
-    cut = best_cut(narrow, labels)
-    k = narrow.where("n_grams > 0" if cut is None else F.expr("n_grams > 0") & (F.col("log_weight") / LENGTH >= cut)).count()
-    least = kth_largest(narrow, "key", k) if k else None
-    enough = lambda key: F.lit(False) if least is None else F.coalesce(_ordered(F.col(key)) >= _ordered(F.lit(least)), F.lit(False))
-    own = tuple(fresh(docs, f"_{c}") for c in ("n_grams", "log_weight", "key"))
-    kept = score(docs, ratios, docs.columns, seed, own).where(enough(own[2])).select(*docs.columns)
-    return kept, narrow.withColumn("kept", enough("key"))
+    plain = materialize(score(docs, ratios, ["doc_id"], seed))
+    cut = best_cut(plain, labels)
+    weight = lambda n, mean: log_weight(F.col(n), F.col(mean), cut or 0.0)
+    narrow = plain.where("n_grams > 0").select(weight("n_grams", "mean_ratio").alias("w"), (weight("n_grams", "mean_ratio") + F.col("noise")).alias("key"))
+    n, positive = narrow.agg(F.count("*"), F.count_if(F.col("w") >= 0)).first()
+    k = (n if cut is None else positive) if keep is None else min(n, round(keep * n) if isinstance(keep, float) else keep)
+    least, least_weight = (kth_largest(narrow, c, k) if k else None for c in ("key", "w"))
+    enough = lambda size, value, bound: F.lit(False) if bound is None else (F.col(size) > 0) & (_ordered(value) >= _ordered(F.lit(bound)))
+    own = tuple(fresh(docs, f"_{c}") for c in ("n_grams", "mean_ratio", "noise"))
+    kept = score(docs, ratios, docs.columns, seed, own).where(enough(own[0], weight(own[0], own[1]) + F.col(own[2]), least)).select(*docs.columns)
+    w = weight("n_grams", "mean_ratio")
+    key = F.when(F.col("n_grams") > 0, w + F.col("noise"))
+    return kept, plain.select("doc_id", "n_grams", w.alias("log_weight"), key.alias("key"), enough("n_grams", w + F.col("noise"), least).alias("kept"), enough("n_grams", w, least_weight).alias("by_weight"))
 
 
 def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
