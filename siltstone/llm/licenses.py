@@ -1,14 +1,18 @@
 """License scans by canonical digest lookup, in DataFrame operations alone.
 
-A whole text is normalised (case, copyright lines, punctuation and white space,
-equivalent spellings), digested, and hash-joined with the digests of known
-licence texts. Only a text that is a licence from end to end is found; a
-licence quoted inside other text is not.
+A whole text is normalised (case, copyright lines, comment marks, punctuation
+and white space, equivalent spellings), digested, and hash-joined with the
+digests of known licence texts and notices. Each line of a text is digested and
+joined in the same way, which finds notices that stand in a line of their own
+inside other text. A licence of several lines inside other text is not found.
+
+The known texts here are short ones; ``license_texts`` reads more from a folder.
 
 Cases: null text counts as empty; empty text and text of nothing but copyright
-lines has an empty canonical form, which matches no licence; repeated rows each
-get their own result; of known licences with equal digests the smallest id
-counts. Extra columns are not read.
+lines has an empty canonical form, which matches no licence; very long texts
+are digested whole; repeated rows each get their own result; of known licences
+with equal digests the smallest id counts; an empty table gives an empty
+result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -18,19 +22,20 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import documents
 
-#: Equivalent spellings, the second of each pair being canonical. Fixed values.
+#: Equivalent spellings, the second of each pair being canonical; hyphens are spaces here. Fixed values.
 SPELLINGS = (
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"),
     ("authorisation", "authorization"), ("authorised", "authorized"), ("calibre", "caliber"), ("cancelled", "canceled"),
     ("capitalisations", "capitalizations"), ("catalogue", "catalog"), ("categorise", "categorize"), ("centre", "center"),
+    ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"), ("e mail", "email"),
     ("emphasised", "emphasized"), ("favour", "favor"), ("favourite", "favorite"), ("fulfil", "fulfill"),
     ("fulfilment", "fulfillment"), ("initialise", "initialize"), ("judgement", "judgment"), ("labelling", "labeling"),
     ("labour", "labor"), ("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"),
     ("maximise", "maximize"), ("modelled", "modeled"), ("modelling", "modeling"), ("noncommercial", "non commercial"),
-    ("offence", "offense"), ("optimise", "optimize"), ("organisation", "organization"), ("organise", "organize"),
-    ("practise", "practice"), ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"),
-    ("signalling", "signaling"), ("sublicence", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"),
-    ("wilful", "willful"), ("http", "https"), ("owner", "holder"), ("owners", "holders"),
+    ("non infringement", "noninfringement"), ("offence", "offense"), ("optimise", "optimize"), ("organisation", "organization"),
+    ("organise", "organize"), ("per cent", "percent"), ("practise", "practice"), ("programme", "program"),
+    ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"), ("sub license", "sublicense"),
+    ("sub licence", "sublicense"), ("sublicence", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"),
 )
 
 _PERMIT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
@@ -40,26 +45,42 @@ _BSD_HEAD = "Redistribution and use in source and binary forms, with or without
 _BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
 _BSD_TAIL = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 
-#: (id, text). Callers pass a table of their own for more.
-KNOWN = (
-    ("MIT", f"MIT License\n\n{_MIT}"),
-    ("MIT", _MIT),
-    ("ISC", f"{_PERMIT}, provided that the above copyright notice and this permission notice appear in all copies. {_ISC_WARRANTY}"),
-    ("0BSD", f"{_PERMIT}. {_ISC_WARRANTY}"),
-    ("BSD-2-Clause", f"{_BSD_HEAD} {_BSD_TAIL}"),
-    ("BSD-3-Clause", f"{_BSD_HEAD} {_BSD_THIRD} {_BSD_TAIL}"),
-    ("MIT-notice", "Released under the MIT License."),
-    ("Apache-2.0-notice", "Licensed under the Apache License, Version 2.0."),
-    ("GPL-3.0-notice", "This work is licensed under the GNU General Public License, version 3."),
-    ("CC-BY-NC-4.0-notice", "Licensed under CC BY-NC 4.0."),
+_UNLICENSE = 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_ZLIB = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+_APACHE_NOTICE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+
+#: (id, headings that may come first, text). Fixed values.
+TEXTS = (
+    ("MIT", ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT"), _MIT),
+    ("ISC", ("ISC License", "The ISC License"), f"{_PERMIT}, provided that the above copyright notice and this permission notice appear in all copies. {_ISC_WARRANTY}"),
+    ("0BSD", ("BSD Zero Clause License", "Zero-Clause BSD"), f"{_PERMIT}. {_ISC_WARRANTY}"),
+    ("BSD-2-Clause", ("BSD 2-Clause License", "The 2-Clause BSD License"), f"{_BSD_HEAD} {_BSD_TAIL}"),
+    ("BSD-3-Clause", ("BSD 3-Clause License", "The 3-Clause BSD License"), f"{_BSD_HEAD} {_BSD_THIRD} {_BSD_TAIL}"),
+    ("Unlicense", ("The Unlicense",), _UNLICENSE),
+    ("Unlicense", ("The Unlicense",), f"{_UNLICENSE} For more information, please refer to <https://unlicense.org>"),
+    ("Zlib", ("zlib License", "The zlib License"), _ZLIB),
+    ("Apache-2.0-notice", (), _APACHE_NOTICE),
+    ("MIT-notice", (), "Released under the MIT License."),
+    ("MIT-notice", (), "SPDX-License-Identifier: MIT"),
+    ("Apache-2.0-notice", (), "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0-notice", (), "SPDX-License-Identifier: Apache-2.0"),
+    ("GPL-3.0-notice", (), "This work is licensed under the GNU General Public License, version 3."),
+    ("CC-BY-NC-4.0-notice", (), "Licensed under CC BY-NC 4.0."),
 )
+#: (id, text): each text alone and under each of its headings.
+KNOWN = tuple((i, f"{h}\n\n{t}" if h else t) for i, headings, t in TEXTS for h in ("", *headings))
 
-COPYRIGHT_LINE = r"(?m)^[^\S\n]*(?:copyright|©|\(c\))[^\S\n]*(?:©|\(c\)|[0-9]{4})[^\n]*$|^[^\S\n]*all rights reserved\.?[^\S\n]*$"
+#: Words after "copyright" that belong to licence prose, not to a copyright line. Fixed values.
+PROSE = ("and", "by", "holder", "holders", "in", "interest", "law", "laws", "license", "licence", "notice", "notices", "or", "owner", "owners", "protection", "statement", "to")
+_MARK = r"[^\S\n]*(?:(?://|/?\*|#|;|--|%|>|<!--)[^\S\n]*)*+"
+COPYRIGHT_LINE = rf"(?m)^{_MARK}(?:(?:copyright|©|\(c\))[^\S\n]*(?:©|\(c\)|[0-9]{{4}})[^\n]*|copyright[^\S\n]+(?!(?:{'|'.join(PROSE)})\b)[^\n]*|all rights reserved\.?[^\S\n]*)$"
 _ANY_SPELLING = r"\b(?:" + "|".join(a for a, _ in SPELLINGS) + r")\b"
 
 
 def canonical(text: Column) -> Column:
-    lines = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, " ")
+    lower = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("http://"), F.lit("https://"))
+    told = lower.contains("copyright") | lower.contains("©") | lower.contains("(c)") | lower.contains("all rights")
+    lines = F.when(told, F.regexp_replace(lower, COPYRIGHT_LINE, " ")).otherwise(lower)
     words = F.trim(F.regexp_replace(lines, r"[^\p{L}\p{N}]+", " "))
     spelt = words
     for a, b in SPELLINGS:
@@ -75,14 +96,27 @@ def known_licenses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(KNOWN), "license_id string, license_text string")
 
 
+def license_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """A folder's text files as known licences, named after their files; for those too long to stand here, such as the GPL's."""
+    name = F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.txt$", "")
+    return spark.read.text(folder, wholetext=True).select(name.alias("license_id"), F.col("value").alias("license_text"))
+
+
 def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest, license_id): license_id is null where no known licence has the digest.
+    """(doc_id, digest, license_id, notices): license_id of the whole text, null where no known licence has its digest; notices: ids of single lines, sorted and comma-joined, null without any.
 
     One row per known digest; Spark broadcasts that side only if its size at
-    run time allows it.
+    run time allows it. Lines' findings belong to texts, told by their SHA-256,
+    so that only those found are shuffled.
     """
-    table = known.select("license_id", digest(F.col("license_text")).alias("digest")).where(F.col("digest") != F.sha2(F.lit("").cast("binary"), 256)).groupBy("digest").agg(F.min("license_id").alias("license_id"))
-    return docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("digest")).join(table, "digest", "left").select("doc_id", "digest", "license_id")
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    table = known.select("license_id", digest(F.col("license_text")).alias("digest")).where(F.col("digest") != nothing).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("_text"), digest(text).alias("digest"))
+    lines = docs.select(text.alias("_t")).where(F.col("_t").contains("\n")).select(F.sha2(F.col("_t").cast("binary"), 256).alias("_text"), F.explode(F.split("_t", "\n")).alias("_line")).where("length(_line) > 0")
+    found = lines.select("_text", digest(F.col("_line")).alias("digest")).join(table, "digest")
+    notices = found.groupBy("_text").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
+    return own.join(table, "digest", "left").join(notices, "_text", "left").select("doc_id", "digest", "license_id", "notices")
 
 
 def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,8 +124,12 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql(text: str) -> str:
-    line = r"(?m)^[^\S\n]*(?:copyright|©|\(c\))[^\S\n]*(?:©|\(c\)|[0-9]{4})[^\n]*$|^[^\S\n]*all rights reserved\.?[^\S\n]*$"
-    out = rf"trim(regexp_replace(regexp_replace(lower(coalesce({text}, '')), '{line}', ' ', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+    """The same by lines: RE2 has no lookahead."""
+    mark = r"^[^\S\n]*(?:(?://|/?\*|#|;|--|%|>|<!--)[^\S\n]*)*"
+    prose = "|".join(PROSE)
+    plain = rf"(regexp_matches(l, '{mark}(copyright|©|\(c\))[^\S\n]*(©|\(c\)|[0-9]{{4}})') OR (regexp_matches(l, '{mark}copyright[^\S\n]+[^\s]') AND NOT regexp_matches(l, '{mark}copyright[^\S\n]+({prose})\b')) OR regexp_matches(l, '{mark}all rights reserved\.?[^\S\n]*$'))"
+    lines = rf"array_to_string(list_transform(string_split(replace(lower(coalesce({text}, '')), 'http://', 'https://'), chr(10)), lambda l: CASE WHEN {plain} THEN ' ' ELSE l END), chr(10))"
+    out = rf"trim(regexp_replace({lines}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
     for a, b in SPELLINGS:
         out = rf"regexp_replace({out}, '\b{a}\b', '{b}', 'g')"
     return f"sha256({out})"
@@ -100,5 +138,7 @@ def _sql(text: str) -> str:
 ORACLE = (
     "WITH k(license_id, t) AS (VALUES "
     + ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in KNOWN)
-    + f"), n AS (SELECT {_sql('t')} AS digest, min(license_id) AS license_id FROM k GROUP BY 1), d AS (SELECT doc_id, {_sql('text')} AS digest FROM documents) SELECT doc_id, digest, license_id FROM d LEFT JOIN n USING (digest)"
+    + f"), n AS (SELECT {_sql('t')} AS digest, min(license_id) AS license_id FROM k GROUP BY 1), d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text, {_sql('text')} AS digest FROM documents), "
+    f"l AS (SELECT DISTINCT r, line FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d WHERE contains(text, chr(10))) WHERE line <> ''), m AS (SELECT r, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices FROM (SELECT r, {_sql('line')} AS digest FROM l) JOIN n USING (digest) GROUP BY r) "
+    "SELECT doc_id, digest, license_id, notices FROM d LEFT JOIN n USING (digest) LEFT JOIN m USING (r)"
 )
