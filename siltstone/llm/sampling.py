@@ -20,18 +20,21 @@ own next. Extra columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import documents
 
 SAMPLES = 64
+#: Text of one range of documents.
+BUCKET_BYTES = 16 << 20
 _ROWS = 1 << 10
 _RNG = np.random.default_rng(424242)
 _EXP = _RNG.exponential(size=(4, _ROWS, SAMPLES)).astype(np.float32)
@@ -115,19 +118,33 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) if out else [[]] * 7, schema.types, strict=True)], schema=schema)
 
 
-def fingerprints_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _bucket(cuts: list[int]) -> Column:
+    """The number of cuts that are not below doc_id. Cuts descend; first their groups are looked at, then one group."""
+    if not cuts:
+        return F.lit(0)
+    width = math.isqrt(len(cuts) - 1) + 1
+    groups = [cuts[k : k + width] for k in range(0, len(cuts), width)]
+    whole = F.size(F.filter(F.lit([g[-1] for g in groups]), lambda p: F.col("doc_id") <= p))
+    inside = F.coalesce(F.get(F.array(*[F.lit(g) for g in groups]), whole), F.array().cast("array<bigint>"))
+    return whole * width + F.size(F.filter(inside, lambda p: F.col("doc_id") <= p))
+
+
+def fingerprints_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
-    Rows are dealt by ranges of doc_id, in descending order; the first row of
-    each range is also sent, once, to the end of the range before it.
+    Rows are dealt by ranges of doc_id, in descending order, each range a task
+    of about ``bucket_bytes`` of text; the first row of each range is also sent,
+    once, to the end of the range before it. Rows with a null doc_id, and rows
+    that share one, stay together.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
-    buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 2
-    points = own.agg(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], 100_000).alias("p")).first()["p"]
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = size // bucket_bytes + 1
+    points = own.agg(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], max(10_000, 10 * buckets)).alias("p")).first()["p"] if buckets > 1 else []
     cuts = sorted(set(points or []), reverse=True)
     # bucket 0 has the largest ids; null ids go to the last one
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.lit(len(cuts)) - F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<bigint>"), lambda p: F.col("doc_id") > p)))
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(_bucket(cuts))
     order = F.struct(F.coalesce(-F.col("doc_id"), F.lit((1 << 63) - 1)).alias("o"), F.coalesce("text", F.lit("")).alias("t"))
     dealt = own.withColumn("bucket", bucket.cast("int")).withColumn("end", F.lit(0))
     firsts = dealt.groupBy("bucket").agg(F.max("doc_id").alias("_top"), F.count("*").alias("_n")).collect()  # one row a bucket
@@ -140,7 +157,7 @@ def fingerprints_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: st
     ahead = dealt.join(F.broadcast(table), (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("top")))
     ahead = ahead.groupBy("b", "goes").agg(F.min(order).alias("m"), F.first("doc_id").alias("doc_id")).select("doc_id", F.col("m.t").alias("text"), F.col("goes").alias("bucket"), F.lit(1).alias("end"))
     both = dealt.unionByName(ahead).withColumn("_order", F.when(F.col("end") == 1, F.lit((1 << 63) - 1)).otherwise(F.coalesce(-F.col("doc_id"), F.lit((1 << 63) - 2))))
-    sorted_ = both.repartition(len(there), "bucket").sortWithinPartitions("bucket", "end", "_order", "text")
+    sorted_ = both.repartitionById(max(b for b, _ in there) + 1, "bucket").sortWithinPartitions("bucket", "end", "_order", "text")
     return sorted_.select("bucket", "doc_id", "text").mapInArrow(_streamed, _SCHEMA)
 
 
