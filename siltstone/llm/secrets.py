@@ -3,26 +3,30 @@
 Every version of every path is content-addressed by SHA-256. The ledger says
 which (blob, rule, rule version) triples were scanned; only the others are
 scanned, each distinct blob once, however many paths or versions hold it.
-Findings are then joined back to all paths.
+Findings are kept with the ledger and joined back to all paths. Texts in which
+no rule can match are told before any shuffle.
 
 Spans: a rule's leftmost non-overlapping matches come from
 regexp_extract_all, the text between them from split, and a running sum of
 their lengths gives the offsets in code points.
 
-Cases: null content counts as empty; empty content has no findings; repeated
-rows of a path each get the blob's findings; an empty table gives empty
-results. Extra columns are not read.
+Cases: null content counts as empty; empty content has no findings; very long
+texts are scanned whole, and no pattern repeats a group by recursion; spans
+that start alike come in the order of the rules; repeated rows of a path each
+get the blob's findings; an empty table gives empty results. Extra columns are
+not read.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import documents, materialize
+from siltstone.llm.common import documents, materialize, shared_dir
 
 
 @dataclass(frozen=True)
@@ -42,19 +46,22 @@ RULES = (
     Rule("hex", r"[0-9a-f]{32,}"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", version=2),
 )
 _GAP = r"""(?:\s|\\[nrt]|["'>#|,])*+"""
 _PEM = (
     # body up to the END line, with nothing like another such line between
-    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*+(?:-{1,4}+(?!-)[^-]*+)*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-{1,4}+(?!-)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
     # or, without END, the base64 run and the shorter piece that ends it
     rf"|(?:{_GAP}(?:Proc-Type:\s*4,ENCRYPTED|DEK-Info:\s*[A-Z0-9-]++,[0-9A-Fa-f]++))*+(?:{_GAP}[A-Za-z0-9+/=]{{16,}}+)++(?:{_GAP}[A-Za-z0-9+/=]{{1,15}}+)?+|{_GAP}[A-Za-z0-9+/=]{{1,15}}+\s*+\z|)"
 )
 #: For replacing: a key's header is enough to find it, but all of it must go.
-REDACTED = tuple(Rule("pem", _PEM, version=2) if r.kind == "pem" else r for r in RULES)
+REDACTED = tuple(Rule("pem", _PEM, version=3) if r.kind == "pem" else r for r in RULES)
+#: Folder of the registered query's ledger; unset, each run starts a new one.
+FOLDER_SETTING = "spark.siltstone.secrets.folder"
 BASE = ("assign", "access", "hex")
 LEDGER = "blob string, kind string, version int"
+FINDINGS = "blob string, kind string, start bigint, end bigint, version int"
 
 
 def content_address(text) -> F.Column:
@@ -79,6 +86,11 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return each.select("blob", "kind", (end - F.col("n")).alias("start"), end.alias("end"), "ok").where("ok").drop("ok")
 
 
+def any_rule(text: F.Column, rules: tuple[Rule, ...] = RULES) -> F.Column:
+    """Whether some rule's pattern is in the text."""
+    return F.coalesce(F.greatest(*[text.rlike(r.pattern).cast("int") for r in rules]), F.lit(0)) == 1
+
+
 def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """versions (path, version, content) to (paths, findings, news).
 
@@ -92,13 +104,37 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: t
     todo = unseen(paths.groupBy("blob").agg(F.min("_row").alias("_row")).select("blob", "_row"), ledger, rules) if ledger is not None else None
     firsts = paths.groupBy("blob").agg(F.min("_row").alias("_row"))
     firsts = firsts.withColumn("kinds", F.array(*[F.lit(r.kind) for r in rules])) if todo is None else firsts.join(todo, "blob")
-    texts = versions.select(content_address(F.col("content")).alias("blob"), row.alias("_row"), F.coalesce("content", F.lit("")).alias("text"))
+    # only texts in which some rule can match are shuffled
+    texts = versions.where(any_rule(F.col("content"), rules)).select(content_address(F.col("content")).alias("blob"), row.alias("_row"), F.col("content").alias("text"))
     findings = materialize(scan(texts.join(firsts, ["blob", "_row"]).select("blob", "text", "kinds"), rules))
     version = F.element_at(F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.version)]), F.col("kind"))
     news = firsts.select("blob", F.explode("kinds").alias("kind")).select("blob", "kind", version.alias("version"))
     return paths.drop("_row"), findings, news
 
 
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(schema).parquet(path) if there else None
+
+
+def scan_into(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+    """(paths, findings) of all versions, with the ledger and all findings so far kept in folder.
+
+    Only (blob, rule version) pairs that the ledger doesn't have are scanned;
+    findings of earlier scans under the rules' present versions come from the
+    folder. Findings are appended before the ledger rows: a scan that is cut off
+    is made again and its repeated findings count once.
+    """
+    spark = versions.sparkSession
+    paths, findings, news = scan_versions(versions, _stored(spark, f"{folder}/ledger", LEDGER), rules)
+    version = F.element_at(F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.version)]), F.col("kind"))
+    findings.withColumn("version", version).write.mode("append").parquet(f"{folder}/findings")
+    news.write.mode("append").parquet(f"{folder}/ledger")
+    known = spark.read.schema(FINDINGS).parquet(f"{folder}/findings")
+    return paths, known.where(F.col("version") == F.coalesce(version, F.lit(-1))).drop("version").distinct().join(paths.select("blob").distinct(), "blob", "left_semi")
+
+
 def summary(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per blob: n_<kind> of the base kinds, base_sha256, spans."""
     order = F.element_at(F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)]), F.col("kind"))
@@ -111,7 +147,8 @@ def summary(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    paths, findings, _ = scan_versions(docs.select(F.col("doc_id").alias("path"), F.lit(1).alias("version"), F.col("text").alias("content")))
+    versions = docs.select(F.col("doc_id").alias("path"), F.lit(1).alias("version"), F.col("text").alias("content"))
+    paths, findings = scan_into(versions, spark.conf.get(FOLDER_SETTING, f"{shared_dir(spark)}/siltstone/ledger-{uuid.uuid4().hex}"))
     none = F.sha2(F.lit("").cast("binary"), 256)
     out = paths.join(summary(findings), "blob", "left")
     return out.select(F.col("path").alias("doc_id"), *[F.coalesce(f"n_{k}", F.lit(0)).cast("bigint").alias(f"n_{k}") for k in BASE], F.coalesce("base_sha256", none).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
@@ -126,8 +163,8 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = REDACTED) -> DataFrame:
     _, findings, _ = scan_versions(content, None, rules)
     spans = F.array_sort(F.collect_list(F.struct("start", "end")))
     per = findings.groupBy(F.col("blob").alias("_blob")).agg(spans.alias("_spans"))
-    any_rule = F.coalesce(F.greatest(*[F.col("text").rlike(r.pattern).cast("int") for r in rules]), F.lit(0)) == 1
-    hit = docs.where(any_rule).withColumn("_at", content_address(F.col("text"))).join(per, F.col("_at") == F.col("_blob"), "left")
+    told = any_rule(F.col("text"), rules)
+    hit = docs.where(told).withColumn("_at", content_address(F.col("text"))).join(per, F.col("_at") == F.col("_blob"), "left")
     # text up to each span that starts at or after the end of those before it; overlaps widen the one before
     done = F.aggregate(
         "_spans",
@@ -140,7 +177,7 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = REDACTED) -> DataFrame:
     hit = hit.withColumn("_done", done).withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join("_done.out", ""), F.substring(F.col("text"), (F.col("_done.at") + 1).cast("int"), F.length("text")))))
     if "n_chars" in docs.columns:
         hit = hit.withColumn("n_chars", F.length("text").cast("bigint"))
-    return docs.where(~any_rule).unionByName(hit.select(*docs.columns))
+    return docs.where(~told).unionByName(hit.select(*docs.columns))
 
 
 _ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
