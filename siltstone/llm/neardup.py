@@ -43,11 +43,13 @@ SAMPLES, ROWS = 512, 6
 #: Bands of the first round.
 FIRST_BANDS = 4
 SKETCH_BITS = 2048
+#: Members of a bucket that are compared with as many others in one task.
+BLOCK = 4096
 #: Links need 100 * intersection >= threshold * union; this is op2's threshold.
 THRESHOLD = 85
 #: A pair at the threshold shares no band with at most this probability.
 BAND_MISS = 3e-7
-#: Candidates whose estimate is so many standard errors of the samples below the threshold are dropped.
+#: Candidates whose estimate is so many standard deviations below the threshold are dropped.
 ERRORS = 4.7
 
 _RNG = np.random.default_rng(20240601)
@@ -105,10 +107,18 @@ def n_bands(threshold: int) -> int:
     return math.ceil(math.log(BAND_MISS) / math.log1p(-((threshold / 100) ** ROWS)))
 
 
+def deviation(t: float) -> float:
+    """Standard deviation of a sketch's estimate at similarity t: of the samples that agree, and of the bits that as many flips leave odd."""
+    flips = 2 * SAMPLES * (1 - t)
+    even = math.exp(-2 * flips / SKETCH_BITS)
+    bits = SKETCH_BITS / 4 * (1 - even**2) - flips * even**2
+    return math.sqrt(t * (1 - t) / SAMPLES + bits / (2 * SAMPLES * even) ** 2)
+
+
 def max_xor(threshold: int) -> int:
     """Differing bits up to which a candidate is confirmed on full sets."""
     t, counts = threshold / 100, np.arange(SKETCH_BITS // 2)
-    return int(counts[estimate(counts) >= t - ERRORS * math.sqrt(t * (1 - t) / SAMPLES)].max())
+    return int(counts[estimate(counts) >= t - ERRORS * deviation(t)].max())
 
 
 def _long(x: int) -> int:
@@ -191,7 +201,7 @@ def _near(most: int):
 
 
 def _between(best: bool, most: int):
-    """Pairs of one bucket between different components, in blocks: the nearest of each member outside the bucket's largest component, or all within `most` differing bits.
+    """Pairs of two blocks of a bucket, or within one, between different components: the nearest of each member outside the bucket's largest component, or all within `most` differing bits.
 
     A pair between two components has a member outside the largest one, so that
     one's members are compared with the others but never with each other. All
@@ -205,6 +215,8 @@ def _between(best: bool, most: int):
         band = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
         names, counts = np.unique(comp, return_counts=True)
         rest = np.flatnonzero(comp != names[counts.argmax()])
+        block = table.column("block").to_numpy()
+        across = len(node) > 0 and table.column("p")[0].as_py() != table.column("q")[0].as_py()
         a, b = [], []
         for i in range(0, len(rest), 512):
             own = rest[i : i + 512]
@@ -212,6 +224,8 @@ def _between(best: bool, most: int):
             for j in range(0, len(node), 2048):
                 d = np.bitwise_count(sketch[own, None] ^ sketch[None, j : j + 2048]).sum(axis=2, dtype=np.int64)
                 d[comp[own, None] == comp[None, j : j + 2048]] = most + 1
+                if across:  # each block alone is another task's
+                    d[block[own, None] == block[None, j : j + 2048]] = most + 1
                 if best:
                     k = d.argmin(axis=1)
                     v = d[np.arange(len(k)), k]
@@ -258,11 +272,15 @@ def components(links: DataFrame) -> DataFrame:
         last = now
 
 
+def _ends(member: DataFrame) -> DataFrame:
+    """(key, lo, n) of the buckets that hold several components, with their first member and their size."""
+    return member.groupBy("key").agg(F.min(F.struct("comp", "node")).alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo.comp < hi").select("key", "lo", "n")
+
+
 def _open(nodes: DataFrame) -> DataFrame:
-    """(key, node, comp, lo) of the buckets that hold several components; lo is the (comp, node) that comes first."""
+    """(key, node, comp, lo, n) of the buckets that hold several components; lo is the (comp, node) that comes first, n their size."""
     member = nodes.select("node", "comp", F.explode("bands").alias("key"))
-    ends = member.groupBy("key").agg(F.min(F.struct("comp", "node")).alias("lo"), F.max("comp").alias("hi")).where("lo.comp < hi").select("key", "lo")
-    return member.join(ends, "key").select("key", "node", "comp", "lo")
+    return member.join(_ends(member), "key").select("key", "node", "comp", "lo", "n")
 
 
 def _with_first(open_: DataFrame) -> DataFrame:
@@ -271,7 +289,12 @@ def _with_first(open_: DataFrame) -> DataFrame:
 
 
 def _in_buckets(open_: DataFrame, sketches: DataFrame, best: bool, threshold: int) -> DataFrame:
-    return open_.select("key", "node", "comp").join(sketches, "node").select("key", "node", "comp", "bands", "sketch").groupBy("key").applyInArrow(_between(best, max_xor(threshold)), "a long, b long").distinct()
+    """Pairs within buckets. A bucket is dealt out as blocks of about BLOCK members, each two of them a task's group, so that no task holds a whole large one."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    dealt = open_.select("key", "node", "comp", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("key", "node", "comp", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")).join(sketches, "node")
+    return dealt.select("key", "p", "q", "block", "node", "comp", "bands", "sketch").groupBy("key", "p", "q").applyInArrow(_between(best, max_xor(threshold)), "a long, b long").distinct()
 
 
 def _bodies(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -300,8 +323,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bodies = _bodies(own, sketches.select(F.col("node").alias("a"), F.col("node").alias("b")))
     for pick in (_with_first, lambda now: _in_buckets(now, sketches, True, threshold), lambda now: _in_buckets(now, sketches, False, threshold)):
         now = member.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        ends = now.groupBy("key").agg(F.min(F.struct("comp", "node")).alias("lo"), F.max("comp").alias("hi")).where("lo.comp < hi").select("key", "lo")
-        pairs = materialize(pick(now.join(ends, "key")).join(tested, ["a", "b"], "left_anti"))
+        pairs = materialize(pick(now.join(_ends(now), "key")).join(tested, ["a", "b"], "left_anti"))
         tested = tested.unionByName(pairs)
         links = materialize(links.union(confirm(pairs, sketches, bodies, threshold)))
         comp = components(links)
