@@ -13,10 +13,19 @@ anchor is a segment.
    anchor as far as every window reaches on one side or the other. Their suffixes are sorted in two stages: suffixes
    smaller than their successors directly, all others by scanning the buckets.
    Windows whose common prefix with a neighbour reaches 200 bytes are repeated.
+   Anchors with more than ``HOT`` different segments are first cut in ``PARTS``
+   by the anchor's place in the window and dealt by the 179 bytes or more that
+   equal windows of a part share, so that no anchor brings all its
+   surroundings to one task.
 3. Repeated windows come back to their documents, which lose what they cover.
 
-Cases: null text counts as empty; texts under 200 bytes stay whole; rows that
-are equal are copies of each other; an empty table gives an empty result.
+Anchors and segments are told by 64 bits each, 128 together; that two different
+segments of one anchor share them is as good as impossible, and their bytes are
+not compared again.
+
+Cases: null text counts as empty; texts under 200 bytes stay whole; very long
+ones are hashed in chunks of 1 MB; rows that are equal are copies of each other,
+and all copies lose what they share; an empty table gives an empty result.
 Extra columns are not read.
 """
 
@@ -32,13 +41,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import documents, materialize
+from siltstone.llm.common import documents, materialize, slices
 
 SPAN = 200
 GRAM = 32
 _WINDOW = SPAN - GRAM + 1
-#: Bytes sorted together; the segments of one anchor are never split.
+#: Bytes sorted together; the segments of one key are never split.
 SORTED = 1 << 19
+#: Different segments of an anchor above which they are dealt by what surrounds it too.
+HOT = 256
+#: Parts of a window's length by which such segments are cut.
+PARTS = 8
 
 _P = 0x9E3779B97F4A7C15
 _INV = pow(_P, -1, 1 << 64)
@@ -218,7 +231,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc", "u", "key", "seg", "first", "last", "anchor"]
-    for batch in batches:
+    for batch in slices(batches):
         docs, keys, segs, firsts, lasts, places, us = [], [], [], [], [], [], []
         for doc, u, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             data = (text or "").encode("utf-8", "surrogatepass")
@@ -239,7 +252,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, u, text, wanted) to the bytes of the wanted segments."""
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for doc, u, text, wanted in zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("doc", "u", "text", "wanted")), strict=True):
             data = (text or "").encode("utf-8", "surrogatepass")
@@ -248,6 +261,36 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=["key", "doc", "u", "first", "anchor", "full", "bytes"])
 
 
+def _cut_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, u, text, wanted) to segments of hot anchors cut by the anchor's place in the window, with keys of their own.
+
+    All windows of a part share the bytes from the latest start of one of them
+    to the earliest end; equal windows are of one part and share those bytes, so
+    the anchor, the part and those bytes make the new key.
+    """
+    steps = [k * _WINDOW // PARTS for k in range(PARTS + 1)]
+    h = xxhash.xxh3_64_intdigest
+    for batch in slices(batches):
+        out = [[] for _ in range(7)]
+        for doc, u, text, wanted in zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("doc", "u", "text", "wanted")), strict=True):
+            data = (text or "").encode("utf-8", "surrogatepass")
+            for w in wanted:
+                at = w["anchor"]
+                for j in range(PARTS):
+                    lo, hi = steps[j], steps[j + 1] - 1
+                    first, last = max(w["first"], at - hi), min(w["last"], at - lo)
+                    if first <= last:
+                        key = h(data[at - lo : at - hi + SPAN], seed=j) ^ (w["key"] & (1 << 64) - 1)
+                        for to, x in zip(out, (doc, u, _long(key), _long(h(data[first : last + SPAN])), first, last, at), strict=True):
+                            to.append(x)
+        kinds = (pa.int64(),) * 4 + (pa.int32(),) * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc", "u", "key", "seg", "first", "last", "anchor"])
+
+
+def _long(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def _runs(places: np.ndarray) -> list[tuple[int, int]]:
     if not len(places):
         return []
@@ -306,7 +349,7 @@ def remove_spans(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int,
 
 def _cut(texts: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text, spans in zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("doc_id", "text", "spans")), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
@@ -320,26 +363,42 @@ def _cut(texts: bool):
     return cut
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for every row; kept: the remaining bytes."""
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     named = named.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("u"), "text")
     anchors = named.select("doc", "u", "text").mapInArrow(_anchors, "doc long, u long, key long, seg long, first int, last int, anchor int")
-    counts = materialize(anchors.groupBy("key", "seg").agg(F.count("*").alias("n")))
-    keys = counts.groupBy(F.col("key").alias("_key")).agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1")
-    state = counts.join(keys, F.col("key") == F.col("_key")).select(F.col("key").alias("_key"), F.col("seg").alias("_seg"), (F.col("n") > 1).alias("full"), (F.col("kinds") > 1).alias("mixed"))
-    found = materialize(anchors.join(state, (F.col("key") == F.col("_key")) & (F.col("seg") == F.col("_seg"))).select("doc", "u", "key", "seg", "first", "last", "anchor", "full", "mixed"))
-
-    # one copy of each segment of anchors that have several
-    pick = F.xxhash64("doc", "u", "first")
-    one = found.where("mixed").groupBy(F.col("key").alias("_key"), F.col("seg").alias("_seg")).agg(F.min(pick).alias("_pick"))
-    wanted = found.where("mixed").join(one, (F.col("key") == F.col("_key")) & (F.col("seg") == F.col("_seg")) & (pick == F.col("_pick")))
-    wanted = wanted.groupBy(F.col("doc").alias("_doc"), F.col("u").alias("_u")).agg(F.collect_list(F.struct("key", "first", "last", "anchor", "full")).alias("wanted"))
     here = lambda side: named.join(side, (F.col("doc") == F.col("_doc")) & (F.col("u") == F.col("_u")), "left")
-    sliced = here(wanted).where("wanted IS NOT NULL").select("doc", "u", "text", "wanted").mapInArrow(_slices, "key long, doc long, u long, first int, anchor int, full boolean, bytes binary")
-    partly = sliced.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_blocks, "doc long, u long, from long, to long")
-    wholly = found.where("full").select("doc", "u", F.col("first").cast("long").alias("from"), (F.col("last") + SPAN).cast("long").alias("to"))
-    spans = materialize(wholly.unionByName(partly)).groupBy(F.col("doc").alias("_doc"), F.col("u").alias("_u")).agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+
+    def repeats(segs: DataFrame) -> DataFrame:
+        """segs (doc, u, key, seg, first, last, anchor) that aren't alone with their key, with full, whether the same segment is there again, and kinds, how many different ones the key has."""
+        counts = materialize(segs.groupBy("key", "seg").agg(F.count("*").alias("n")))
+        keys = counts.groupBy(F.col("key").alias("_key")).agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1")
+        state = counts.join(keys, F.col("key") == F.col("_key")).select(F.col("key").alias("_key"), F.col("seg").alias("_seg"), (F.col("n") > 1).alias("full"), "kinds")
+        return materialize(segs.join(state, (F.col("key") == F.col("_key")) & (F.col("seg") == F.col("_seg"))).select("doc", "u", "key", "seg", "first", "last", "anchor", "full", "kinds"))
+
+    def of_documents(found: DataFrame) -> DataFrame:
+        """One copy of each different segment, collected by document, with the text."""
+        pick = F.xxhash64("doc", "u", "first")
+        one = found.groupBy(F.col("key").alias("_key"), F.col("seg").alias("_seg")).agg(F.min(pick).alias("_pick"))
+        wanted = found.join(one, (F.col("key") == F.col("_key")) & (F.col("seg") == F.col("_seg")) & (pick == F.col("_pick")))
+        wanted = wanted.groupBy(F.col("doc").alias("_doc"), F.col("u").alias("_u")).agg(F.collect_list(F.struct("key", "first", "last", "anchor", "full")).alias("wanted"))
+        return here(wanted).where("wanted IS NOT NULL").select("doc", "u", "text", "wanted")
+
+    def partly(found: DataFrame) -> DataFrame:
+        sliced = of_documents(found).mapInArrow(_slices, "key long, doc long, u long, first int, anchor int, full boolean, bytes binary")
+        return sliced.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_blocks, "doc long, u long, from long, to long")
+
+    def wholly(found: DataFrame) -> DataFrame:
+        return found.where("full").select("doc", "u", F.col("first").cast("long").alias("from"), (F.col("last") + SPAN).cast("long").alias("to"))
+
+    found = repeats(anchors)
+    spans = wholly(found).unionByName(partly(found.where(F.col("kinds").between(2, hot))))
+    crowded = found.where(F.col("kinds") > hot)
+    if not crowded.isEmpty():
+        cut = repeats(of_documents(crowded).mapInArrow(_cut_parts, "doc long, u long, key long, seg long, first int, last int, anchor int"))
+        spans = spans.unionByName(wholly(cut)).unionByName(partly(cut.where("kinds > 1")))
+    spans = materialize(spans).groupBy(F.col("doc").alias("_doc"), F.col("u").alias("_u")).agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return here(spans).select("doc_id", "text", "spans").mapInArrow(_cut(texts), schema + (", kept binary" if texts else ""))
 
