@@ -77,15 +77,24 @@ COPYRIGHT_LINE = rf"(?m)^{_MARK}(?:(?:copyright|©|\(c\))[^\S\n]*(?:©|\(c\)|[0-
 _ANY_SPELLING = r"\b(?:" + "|".join(a for a, _ in SPELLINGS) + r")\b"
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with value worked out once: Spark would repeat its expression wherever then uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def canonical(text: Column) -> Column:
+    def without_copyright(low: Column) -> Column:
+        told = low.contains("copyright") | low.contains("©") | low.contains("(c)") | low.contains("all rights")
+        return F.when(told, F.regexp_replace(low, COPYRIGHT_LINE, " ")).otherwise(low)
+
+    def spelt(words: Column) -> Column:
+        out = words
+        for a, b in SPELLINGS:
+            out = F.regexp_replace(out, rf"\b{a}\b", b)
+        return F.when(words.rlike(_ANY_SPELLING), out).otherwise(words)
+
     lower = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("http://"), F.lit("https://"))
-    told = lower.contains("copyright") | lower.contains("©") | lower.contains("(c)") | lower.contains("all rights")
-    lines = F.when(told, F.regexp_replace(lower, COPYRIGHT_LINE, " ")).otherwise(lower)
-    words = F.trim(F.regexp_replace(lines, r"[^\p{L}\p{N}]+", " "))
-    spelt = words
-    for a, b in SPELLINGS:
-        spelt = F.regexp_replace(spelt, rf"\b{a}\b", b)
-    return F.when(words.rlike(_ANY_SPELLING), spelt).otherwise(words)
+    return _let(F.trim(F.regexp_replace(_let(lower, without_copyright), r"[^\p{L}\p{N}]+", " ")), spelt)
 
 
 def digest(text: Column) -> Column:
@@ -113,7 +122,8 @@ def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text
     table = known.select("license_id", digest(F.col("license_text")).alias("digest")).where(F.col("digest") != nothing).groupBy("digest").agg(F.min("license_id").alias("license_id"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("_text"), digest(text).alias("digest"))
-    lines = docs.select(text.alias("_t")).where(F.col("_t").contains("\n")).select(F.sha2(F.col("_t").cast("binary"), 256).alias("_text"), F.explode(F.split("_t", "\n")).alias("_line")).where("length(_line) > 0")
+    lines = docs.where(text.contains("\n")).select(F.sha2(text.cast("binary"), 256).alias("_text"), F.split(text, "\n").alias("_lines"))
+    lines = lines.select("_text", F.explode("_lines").alias("_line")).where("length(_line) > 0")
     found = lines.select("_text", digest(F.col("_line")).alias("digest")).join(table, "digest")
     notices = found.groupBy("_text").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
     return own.join(table, "digest", "left").join(notices, "_text", "left").select("doc_id", "digest", "license_id", "notices")
