@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD = r"[\p{L}\p{N}_#+-]+(?:\.[\p{L}\p{N}_#+-]+)*"
+#: The repeated group is possessive: Java's matcher then loops over it, where it would recurse and end the JVM on very long words.
+WORD = r"[\p{L}\p{N}_#+-]+(?:\.[\p{L}\p{N}_#+-]+)*+"
 CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]+"
 
 #: Words that never count for relevance. Fixed values.
@@ -35,9 +37,14 @@ def stem(t: Column) -> Column:
     return F.when((n > 4) & t.endswith("ing"), cut(3)).when((n > 3) & t.endswith("ed"), cut(2)).when((n > 3) & t.endswith("s") & ~t.endswith("ss"), cut(1)).otherwise(t)
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with value worked out once: Spark would repeat its expression wherever then uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _word_tokens(w: Column) -> Column:
-    tail = F.regexp_extract(w, r"^.+\.([^.]+)$", 1)
-    return F.when(tail.rlike(r"\p{L}"), F.array(stem(w), stem(tail))).otherwise(F.array(stem(w)))
+    tail = F.substring_index(w, ".", -1)
+    return F.when(w.contains(".") & tail.rlike(r"\p{L}"), F.array(stem(w), stem(tail))).otherwise(F.array(stem(w)))
 
 
 def _cjk_tokens(w: Column) -> Column:
@@ -48,8 +55,40 @@ def _cjk_tokens(w: Column) -> Column:
 
 def tokenize(s: Column) -> Column:
     """Stemmed words; dotted words also give their last part; runs of CJK letters give pairs. Null: no tokens."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(s, F.lit(""))), F.lit(WORD), F.lit(0))
-    return F.flatten(F.transform(words, lambda w: F.when(w.rlike(CJK), _cjk_tokens(w)).otherwise(_word_tokens(w))))
+    low = F.lower(F.coalesce(s, F.lit("")))
+    words = F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    plain = F.transform(words, stem)  # neither CJK letters nor dots inside words
+    full = F.flatten(F.transform(words, lambda w: F.when(w.rlike(CJK), _cjk_tokens(w)).otherwise(_word_tokens(w))))
+    return F.when(low.rlike(rf"[\p{{L}}\p{{N}}_#+-]\.[\p{{L}}\p{{N}}_#+-]|{CJK}"), full).otherwise(plain)
+
+
+def _stemmed(t: str) -> str:
+    for least, end in ((4, "ing"), (3, "ed"), (3, "s")):
+        if len(t) > least and t.endswith(end) and not (end == "s" and t.endswith("ss")):
+            return t[: -len(end)]
+    return t
+
+
+def tokens_of(text: str) -> list[str]:
+    """tokenize() of one short text, such as a query, on the driver."""
+    cjk, out = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]+"), []
+    for w in regex.findall(WORD, text.lower()):
+        runs = cjk.findall(w)
+        if runs:
+            for r in runs:
+                out += [r] if len(r) == 1 else [r[k : k + 2] for k in range(len(r) - 1)]
+            out += [_stemmed(x) for x in cjk.sub(" ", w).split()]
+            continue
+        out.append(_stemmed(w))
+        tail = w.rpartition(".")[2]
+        if "." in w and regex.search(r"\p{L}", tail):
+            out.append(_stemmed(tail))
+    return out
+
+
+def gate_tokens_of(query: str) -> list[str]:
+    """gate_tokens() of one query, on the driver."""
+    return [t for t in dict.fromkeys(tokens_of(query)) if len(t) > 2 and t not in STOPWORDS]
 
 
 def gate_tokens(query: Column) -> Column:
@@ -120,6 +159,16 @@ def backoff_ms(attempt: Column) -> Column:
     return (F.lit(300) * F.pow(F.lit(3), attempt)).cast("bigint")
 
 
+def describe_error(message: Column, code: Column) -> Column:
+    """A message with the cause's code after it, unless it is in there."""
+    return F.when(code.isNull() | (code == "") | message.contains(code), message).otherwise(F.concat(message, F.lit(" ("), code, F.lit(")")))
+
+
+def seconds(ms: Column) -> Column:
+    """Milliseconds as seconds with one decimal."""
+    return F.concat(F.format_string("%.1f", F.round(ms / 1000, 1)), F.lit("s"))
+
+
 def http_message(host: Column, status: Column) -> Column:
     code = F.concat(F.lit("HTTP "), status.cast("string"))
     return F.when(status.isin(401, 403), F.concat(code, F.lit(" — "), host, F.lit(" refuses unauthenticated requests"))).when(status == 429, F.concat(code, F.lit(" — "), host, F.lit(" rate-limits us"))).otherwise(code)

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import gate_tokens, tokenize
+from siltstone.functions.text import gate_tokens, gate_tokens_of, let, tokenize
 from siltstone.functions.urls import normalize_url, parts
 
 #: Weight of each engine's ranks; others weigh 1. Fixed values.
 WEIGHTS = {"ddg": 1.0, "ddg-lite": 1.0, "ddg-jina": 0.9, "brave": 1.0, "bing": 0.5}
-#: Overview sites that a briefing passes over.
+#: Constant of reciprocal-rank fusion.
 K = 60
 
 
@@ -27,18 +27,19 @@ def row_tokens(title: Column, snippet: Column, url: Column) -> Column:
     return F.array_distinct(tokenize(F.concat_ws(" ", title, snippet, words)))
 
 
-def gate_hits(query: Column, title: Column, snippet: Column, url: Column) -> tuple[Column, Column]:
-    """(query tokens, hits)."""
-    q, doc = gate_tokens(query), row_tokens(title, snippet, url)
-    return q, F.size(F.filter(q, lambda t: token_hit(t, doc)))
+def relevance_gate(rows: DataFrame, query: str | Column) -> DataFrame:
+    """rows(title, snippet, url, …) with kept: whether they share two of the query's words, or its only one. A query without words keeps all.
 
-
-def relevance_gate(rows: DataFrame, query: Column) -> DataFrame:
-    """rows(title, snippet, url, …) with kept: whether they share two of the query's words, or its only one. A query without words keeps all."""
-    q = gate_tokens(query)
-    gated = rows.withColumn("_q", q).withColumn("_doc", row_tokens(F.col("title"), F.col("snippet"), F.col("url")))
-    hits = F.size(F.filter("_q", lambda t: token_hit(t, F.col("_doc"))))
-    return gated.withColumn("kept", (F.size("_q") == 0) | (hits >= F.least(F.lit(2), F.size("_q")))).drop("_q", "_doc")
+    query: one for all rows, or a column. Rows' words are worked out once each.
+    """
+    if isinstance(query, str):
+        words = gate_tokens_of(query)
+        tokens = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
+    else:
+        tokens = gate_tokens(query)
+    pair = F.struct(tokens.alias("q"), row_tokens(F.col("title"), F.col("snippet"), F.col("url")).alias("doc"))
+    enough = lambda x: (F.size(x["q"]) == 0) | (F.size(F.filter(x["q"], lambda t: token_hit(t, x["doc"]))) >= F.least(F.lit(2), F.size(x["q"])))
+    return rows.withColumn("kept", let(pair, enough))
 
 
 def gate_stats(gated: DataFrame) -> DataFrame:

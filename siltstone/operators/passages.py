@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import operator
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import clip, tokenize
+from siltstone.functions.text import clip, let, tokenize, tokens_of
 
 SHORTEST, LONGEST, PACKED = 24, 1200, 900
 K1, B = 1.5, 0.75
@@ -121,21 +123,31 @@ def split_markdown(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_split, "doc_id long, pos int, heading string, text string, kind string")
 
 
-def query_tokens(query: str) -> Column:
-    return F.array_distinct(tokenize(F.lit(query)))
+def query_tokens(query: str) -> list[str]:
+    return list(dict.fromkeys(tokens_of(query)))
+
+
+#: A query that looks like code.
+CODEISH = r"[(){}\[\];=.\\/>]|undefined|null|function|const|error|npm|import"
+
+
+def query_codeish(query: Column) -> Column:
+    return query.rlike(f"(?i){CODEISH}")
 
 
 def score_passages(passages: DataFrame, query: str) -> DataFrame:
     """passages with score: BM25 with statistics of the passage's own document, lengths in characters.
 
     One shuffle, by document: the query's few tokens are counted in place, so
-    no token table is built.
+    no token table is built. Each text is tokenised once, however many tokens
+    the query has.
     """
-    q, per_doc = query_tokens(query), W.partitionBy("doc_id")
-    toks = passages.withColumn("_tok", tokenize(F.col("text"))).withColumn("_tf", F.transform(q, lambda t: F.size(F.filter("_tok", lambda x: x == t)))).drop("_tok")
-    n_q = len(passages.sparkSession.range(1).select(q.alias("q")).first()["q"])
+    words, per_doc = query_tokens(query), W.partitionBy("doc_id")
+    n_q = len(words)
     if not n_q:
         return passages.withColumn("score", F.lit(0.0))
+    found = let(F.filter(tokenize(F.col("text")), lambda x: x.isin(*words)), lambda toks: F.array(*[F.size(toks) - F.size(F.array_remove(toks, t)) for t in words]))
+    toks = passages.withColumn("_tf", found)
     stats = toks.withColumn("_n", F.count("*").over(per_doc)).withColumn("_avg", F.avg(F.length("text")).over(per_doc))
     df = F.array(*[F.count_if(F.col("_tf")[i] > 0).over(per_doc) for i in range(n_q)])
     stats = stats.withColumn("_df", df)
@@ -145,11 +157,11 @@ def score_passages(passages: DataFrame, query: str) -> DataFrame:
         n, d = F.col("_tf")[i], F.col("_df")[i]
         total = total + F.when(n > 0, F.log(1 + (F.col("_n") - d + 0.5) / (d + 0.5)) * n * (K1 + 1) / (n + norm)).otherwise(0.0)
     low = F.lower("heading")
-    total = total * F.when((F.col("heading") != "") & F.exists(q, lambda t: F.contains(low, t)), 1.5).otherwise(1.0)
+    total = total * F.when((F.col("heading") != "") & reduce(operator.or_, [low.contains(t) for t in words]), 1.5).otherwise(1.0)
     phrase = " ".join(query.lower().split())
     if n_q >= 2 and len(phrase) >= 6:
         total = total * F.when(F.regexp_replace(F.lower("text"), r"\s+", " ").contains(phrase), 1.5).otherwise(1.0)
-    if re.search(r"[(){}\[\];=.\\/>]|undefined|null|function|const|error|npm|import", query, re.I):
+    if re.search(CODEISH, query, re.I):
         total = total * F.when(F.col("text").rlike(r"```|\t|=>|function |const |def |class "), 1.2).otherwise(1.0)
     junk = F.regexp_count("text", F.lit(r"\{\{|\}\}|\[\[|\]\]|https?://")) / F.greatest(F.length("text") / 100, F.lit(1.0))
     total = total * F.when(junk > 1, 0.3).when(junk > 0.4, 0.6).otherwise(1.0)
@@ -175,16 +187,17 @@ def budget_passages(scored: DataFrame, budget: int = 6000, intro: int = 600) ->
     kept = scored.withColumn("_rest", rest).where((F.col("pos") == 0) | ((F.col("score") > 0) & (F.col("_rest") > 0) & ~((n > F.col("_rest")) & (F.col("_rest") < 80))))
     first = F.col("pos") == 0
     text = F.when(first, F.substring("text", 1, intro)).when(n > F.col("_rest"), F.concat(F.substring(F.col("text"), F.lit(1), F.col("_rest").cast("int")), F.lit("…"))).otherwise(F.col("text"))
-    return kept.select("doc_id", "pos", "heading", text.alias("text"), F.when(first, 0.0).otherwise(F.col("score")).alias("score"))
+    more = [c for c in scored.columns if c not in ("doc_id", "pos", "heading", "text", "score")]
+    return kept.select("doc_id", "pos", "heading", text.alias("text"), F.when(first, 0.0).otherwise(F.col("score")).alias("score"), *more)
 
 
-def passage_view(picked: DataFrame, totals: DataFrame) -> DataFrame:
-    """(doc_id, view): passages in order, headings where they change, and how many of all are shown."""
+def passage_view(picked: DataFrame) -> DataFrame:
+    """picked(doc_id, pos, heading, text, total) to (doc_id, view): passages in order, headings where they change, and how many of all are shown."""
     previous = F.lag("heading").over(W.partitionBy("doc_id").orderBy("pos"))
     show = (F.col("heading") != "") & ~F.col("heading").eqNullSafe(previous)
     lines = picked.withColumn("_line", F.concat(F.when(show, F.concat(F.lit("## "), F.col("heading"), F.lit("\n\n"))).otherwise(""), F.col("text")))
-    one = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_line"))), lambda s: s["_line"]), "\n\n").alias("body"), F.count("*").alias("n"))
-    return one.join(totals, "doc_id").select("doc_id", F.concat("body", F.lit("\n\n["), F.col("n").cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(" passages shown]")).alias("view"))
+    one = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_line"))), lambda s: s["_line"]), "\n\n").alias("body"), F.count("*").alias("n"), F.max("total").alias("total"))
+    return one.select("doc_id", F.concat("body", F.lit("\n\n["), F.col("n").cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(" passages shown]")).alias("view"))
 
 
 def best_excerpts(picked: DataFrame) -> DataFrame:

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import tokenize
 from siltstone.operators import passages as P
+from siltstone.storage import spread
 
 QUERY = "of the restoration and that"
 WORD = r"[\p{L}\p{N}_#+-]+(?:\.[\p{L}\p{N}_#+-]+)*"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def tokenize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +52,8 @@ def budget_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passage_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = P.split_plain(documents(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("total"))
-    return P.passage_view(_picked(spark, sf_dir), totals)
+    scored = _scored(spark, sf_dir).withColumn("score", F.round("score", 6)).withColumn("total", F.count("*").over(W.partitionBy("doc_id")))
+    return P.passage_view(P.budget_passages(scored, 2500))
 
 
 def excerpt_best_passage(spark: SparkSession, sf_dir: str) -> DataFrame:

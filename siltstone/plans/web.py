@@ -11,6 +11,7 @@ from siltstone.functions import text as T
 from siltstone.functions import urls as U
 from siltstone.operators import fusion as R
 from siltstone.sources import parsers as S
+from siltstone.storage import spread
 
 #: URLs with what the table lacks: ports, amp paths, hashbangs, unsafe hosts, known sites.
 URLS = (
@@ -27,7 +28,7 @@ AGGREGATORS = r"(^|\.)(reddit|ycombinator|github|wikipedia)\.(com|org)$"
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,22 +70,23 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relevance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.relevance_gate(_rows(spark, sf_dir), F.lit(QUERY)).select("page_id", "kept")
+    return R.relevance_gate(_rows(spark, sf_dir), QUERY).select("page_id", "kept")
 
 
 def _buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two engines' lists of the pages that pass the gate, in different orders, by language as the query."""
-    kept = R.relevance_gate(_rows(spark, sf_dir), F.lit(QUERY)).where("kept")
+    kept = R.relevance_gate(_rows(spark, sf_dir), QUERY).where("kept")
     lang = F.regexp_extract("url", r"^https?://[^/]+/([a-z]{2})/", 1)
     named = kept.select(lang.alias("query_id"), "page_id", "url", "title", "snippet")
-    one = named.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("page_id"))).withColumn("bucket", F.lit("ddg")).withColumn("bucket_ord", F.lit(0)).withColumn("date", F.format_string("2024-01-%02d", F.col("page_id") % 28 + 1)).withColumn("date_kind", F.lit("published"))
-    two = named.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.length("title"), "page_id"))).withColumn("bucket", F.lit("bing")).withColumn("bucket_ord", F.lit(1)).withColumn("date", F.format_string("2023-12-%02d", F.col("page_id") % 28 + 1)).withColumn("date_kind", F.lit("indexed"))
-    return one.unionByName(two).where("rank <= 15")
+    ranked = named.withColumn("_one", F.row_number().over(W.partitionBy("query_id").orderBy("page_id"))).withColumn("_two", F.row_number().over(W.partitionBy("query_id").orderBy(F.length("title"), "page_id")))
+    in_bucket = lambda rank, bucket, ord_, month, kind: F.struct(F.col(rank).alias("rank"), F.lit(bucket).alias("bucket"), F.lit(ord_).alias("bucket_ord"), F.format_string(f"{month}-%02d", F.col("page_id") % 28 + 1).alias("date"), F.lit(kind).alias("date_kind"))
+    both = F.array(in_bucket("_one", "ddg", 0, "2024-01", "published"), in_bucket("_two", "bing", 1, "2023-12", "indexed"))
+    return ranked.where("_one <= 15 OR _two <= 15").select("query_id", "page_id", "url", "title", "snippet", F.inline(both)).where("rank <= 15")
 
 
 def gate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     lang = F.regexp_extract("url", r"^https?://[^/]+/([a-z]{2})/", 1)
-    return R.gate_stats(R.relevance_gate(_rows(spark, sf_dir), F.lit(QUERY)).withColumn("bucket", lang))
+    return R.gate_stats(R.relevance_gate(_rows(spark, sf_dir), QUERY).withColumn("bucket", lang))
 
 
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
