@@ -178,4 +178,4 @@ def retry_after_ms(value: Column, now_ms: Column) -> Column:
     """Seconds or an HTTP date to milliseconds from now."""
     seconds = value.try_cast("double")
     date = F.try_to_timestamp(F.regexp_replace(value, r"^\w{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
-    return F.when(seconds >= 0, (seconds * 1000).cast("bigint")).otherwise(F.greatest(F.lit(0).cast("bigint"), F.unix_millis(date) - now_ms))
+    return F.when(seconds >= 0, (seconds * 1000).cast("bigint")).when(date.isNotNull(), F.greatest(F.lit(0).cast("bigint"), F.unix_millis(date) - now_ms))

@@ -45,70 +45,54 @@ def split_plain(docs: DataFrame) -> DataFrame:
 
 
 _SENTENCE = re.compile(SENTENCE)
-_HEADING = re.compile(r"#{1,6}\s+(.{3,120})$")
-_FENCE = re.compile(r"\s*(```|~~~)")
+_FENCE = r"[^\S\n]*(?:```|~~~)[^\n]*"
+#: Fenced code up to the next fence of any mark, a heading, a blank line, or a line of prose.
+_LINES = re.compile(rf"^(?:(?P<fence>{_FENCE})(?P<code>(?:\n(?!{_FENCE})[^\n]*)*)(?:\n(?P<end>{_FENCE}))?|#{{1,6}}[^\S\n]+(?P<heading>[^\n]{{3,120}}?)[^\S\n]*|(?P<blank>[^\S\n]*)|(?P<prose>[^\n]+))$", re.M)
+
+
+def _packed(parts: list[str], extra: int, least: int) -> Iterator[list[str]]:
+    """Neighbouring parts up to about PACKED characters; a group of less than `least` goes on. extra: characters between two parts."""
+    group, size = [], 0
+    for part in parts:
+        if size + len(part) > PACKED and size >= least:
+            yield group
+            group, size = [], 0
+        group.append(part)
+        size += len(part) + extra
+    if group:
+        yield group
+
+
+def _prose(block: str) -> list[str]:
+    t = block.strip()
+    if len(t) <= LONGEST:
+        return [t] if len(t) >= SHORTEST else []
+    groups = ["".join(g) for g in _packed(_SENTENCE.findall(t) or [t], 0, SHORTEST)]
+    return [g.strip() for k, g in enumerate(groups) if k < len(groups) - 1 or len(g.strip()) >= SHORTEST]
+
+
+def _code(opening: str, body: str, closing: str) -> list[str]:
+    lines = body.split("\n")
+    groups = [] if not body.strip() else [lines] if len(body) <= LONGEST else _packed(lines, 1, 1)
+    return ["\n".join([opening, *g, closing]) for g in groups]
 
 
 def markdown_passages(text: str) -> list[tuple[str, str, str]]:
     """(heading, text, kind) in order. Blank lines end passages; fenced code stays whole or is cut by lines."""
     out: list[tuple[str, str, str]] = []
-    heading, lines, fence = "", [], None
-
-    def prose() -> None:
-        block = "\n".join(lines).strip()
-        lines.clear()
-        if len(block) < SHORTEST:
-            return
-        if len(block) <= LONGEST:
-            out.append((heading, block, "prose"))
-            return
-        kept = ""
-        for sentence in _SENTENCE.findall(block) or [block]:
-            if len(kept) + len(sentence) > PACKED and len(kept) >= SHORTEST:
-                out.append((heading, kept.strip(), "prose"))
-                kept = ""
-            kept += sentence
-        if len(kept.strip()) >= SHORTEST:
-            out.append((heading, kept.strip(), "prose"))
-
-    def code(block: list[str]) -> None:
-        opening, body = block[0], block[1:]
-        mark = opening.strip()[:3]
-        chunks, size = [[]], 0
-        if len("\n".join(body)) <= LONGEST:
-            chunks = [body]
-        else:
-            for line in body:
-                if size + len(line) > PACKED and chunks[-1]:
-                    chunks.append([])
-                    size = 0
-                chunks[-1].append(line)
-                size += len(line) + 1
-        for chunk in chunks:
-            if "".join(chunk).strip():
-                out.append((heading, "\n".join([opening, *chunk, mark]), "code"))
-
-    for line in text.split("\n"):
-        if fence is not None:
-            if _FENCE.match(line):
-                code(fence)
-                fence = None
-            else:
-                fence.append(line)
-        elif _FENCE.match(line):
-            prose()
-            fence = [line]
-        elif found := _HEADING.match(line.strip()):
-            prose()
-            heading = found[1].strip()
-        elif not line.strip():
-            prose()
-        else:
-            lines.append(line)
-    if fence is not None:
-        code(fence)
-    prose()
-    return out
+    heading, run = "", []
+    for m in _LINES.finditer(text):
+        if m["prose"] is not None:
+            run.append(m["prose"])
+            continue
+        out += [(heading, t, "prose") for t in _prose("\n".join(run))]
+        run = []
+        if m["fence"] is not None:
+            mark = re.search("```|~~~", m["fence"])[0]
+            out += [(heading, t, "code") for t in _code(m["fence"], m["code"][1:], m["end"] if m["end"] is not None else mark)]
+        elif m["heading"] is not None:
+            heading = m["heading"].strip()
+    return out + [(heading, t, "prose") for t in _prose("\n".join(run))]
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,9 +179,9 @@ def passage_view(picked: DataFrame) -> DataFrame:
     """picked(doc_id, pos, heading, text, total) to (doc_id, view): passages in order, headings where they change, and how many of all are shown."""
     previous = F.lag("heading").over(W.partitionBy("doc_id").orderBy("pos"))
     show = (F.col("heading") != "") & ~F.col("heading").eqNullSafe(previous)
-    lines = picked.withColumn("_line", F.concat(F.when(show, F.concat(F.lit("## "), F.col("heading"), F.lit("\n\n"))).otherwise(""), F.col("text")))
+    lines = picked.withColumn("_line", F.concat(F.when(show, F.concat(F.lit("## "), F.col("heading"), F.lit("\n"))).otherwise(""), F.col("text")))
     one = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_line"))), lambda s: s["_line"]), "\n\n").alias("body"), F.count("*").alias("n"), F.max("total").alias("total"))
-    return one.select("doc_id", F.concat("body", F.lit("\n\n["), F.col("n").cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(" passages shown]")).alias("view"))
+    return one.select("doc_id", F.concat("body", F.lit("\n\n["), F.col("n").cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(" passages shown — most relevant to the query. Omit query for the page head; offset pages it.]")).alias("view"))
 
 
 def best_excerpts(picked: DataFrame) -> DataFrame:
@@ -208,12 +192,15 @@ def best_excerpts(picked: DataFrame) -> DataFrame:
 
 
 def head_view(text: Column, most: int, offset: int = 0) -> Column:
-    """A page of a text; a footer inside the budget tells where to go on."""
-    total = F.length(text)
-    footed = most >= 600
-    size = most - 120 if footed else most
-    part = F.substring(text, offset + 1, size if footed else most)
-    whole = F.substring(text, offset + 1, most)
-    more = total - offset > most
-    end = F.lit(offset) + F.length(part)
-    return F.when(~more, whole).otherwise(F.concat(part, F.lit("\n\n[truncated at "), end.cast("string"), F.lit(" of "), total.cast("string"), F.lit(" chars; continue with offset="), end.cast("string"), F.lit("]")) if footed else part)
+    """A page of a text. From budgets of 600 on a footer tells where to go on; page and footer together keep to the budget less 120."""
+    text = F.coalesce(text, F.lit(""))
+    total, past = F.length(text), F.lit(offset)
+    beyond = F.concat(F.lit(f"[offset {offset} is past the end ("), total.cast("string"), F.lit(" chars)]"))
+    if most < 600:
+        return F.when(past >= total, beyond).otherwise(F.substring(text, offset + 1, most))
+    budget = most - 120
+    footer = lambda at: F.concat(F.lit("\n\n[truncated at "), at.cast("string"), F.lit(" of "), total.cast("string"), F.lit(" chars — pass offset:"), at.cast("string"), F.lit(" for the next part, or a query]"))
+    end = F.lit(offset + budget)
+    size = F.greatest(F.lit(1), F.lit(budget) - F.length(footer(end)))
+    page = F.concat(F.substring(text, F.lit(offset + 1), size), footer(past + size))
+    return F.when(past >= total, beyond).when(end >= total, F.substring(text, offset + 1, budget)).otherwise(page)

@@ -1,9 +1,9 @@
-"""Every query with its SQL, by name."""
+"""All queries and the SQL that DuckDB runs for them."""
 
 from __future__ import annotations
 
-from siltstone.plans import logs, texts, web
+from siltstone.plans import fetching, logs, reading, sites, texts, web
 
-MODULES = (texts, web, logs)
-QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
-ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
+_PLANS = (texts, web, logs, sites, fetching, reading)
+QUERIES = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
+ORACLES = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}

@@ -64,12 +64,6 @@ def head_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", P.head_view(F.col("text"), 1000, 100).alias("view"))
 
 
-def split_passages_md(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headings and fences around every document's first lines, which the table itself lacks."""
-    text = F.concat(F.lit("# Guide to things\n\n"), F.col("text"), F.lit("\n\n```python\nx = 1\n```\n\n## Second part\n"), F.substring("text", 1, 200))
-    return P.split_markdown(documents(spark, sf_dir).withColumn("text", text))
-
-
 def stem_sql(t: str) -> str:
     return f"CASE WHEN length({t}) > 4 AND {t} LIKE '%ing' THEN left({t}, length({t}) - 3) WHEN length({t}) > 3 AND {t} LIKE '%ed' THEN left({t}, length({t}) - 2) WHEN length({t}) > 3 AND {t} LIKE '%s' AND {t} NOT LIKE '%ss' THEN left({t}, length({t}) - 1) ELSE {t} END"
 
@@ -111,7 +105,7 @@ pk AS (SELECT doc_id, pos::BIGINT AS pos, CASE WHEN pos = 0 THEN left(text, 600)
     FROM rs WHERE pos = 0 OR (score > 0 AND rest > 0 AND NOT (length(text) > rest AND rest < 80)))"""
 )
 
-QUERIES = {f.__name__: f for f in (tokenize_documents, doc_frequency, split_passages, split_passages_md, bm25_passages, bm25_topk, budget_passages, passage_view, excerpt_best_passage, head_view)}
+QUERIES = {f.__name__: f for f in (tokenize_documents, doc_frequency, split_passages, bm25_passages, bm25_topk, budget_passages, passage_view, excerpt_best_passage, head_view)}
 ORACLES = {
     "tokenize_documents": f"SELECT doc_id, token, count(*) AS tf FROM ({tokens_sql('documents', 'doc_id', 'text')}) GROUP BY ALL",
     "doc_frequency": f"SELECT token, count(DISTINCT doc_id) AS df FROM ({tokens_sql('documents', 'doc_id', 'text')}) GROUP BY token",
@@ -119,7 +113,7 @@ ORACLES = {
     "bm25_passages": _SCORED + " SELECT doc_id, pos::BIGINT AS pos, round(score, 6) AS score FROM b",
     "bm25_topk": _SCORED + " SELECT doc_id, pos::BIGINT AS pos, round(score, 6) AS score FROM b QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, pos) = 1 ORDER BY score DESC, doc_id LIMIT 20",
     "budget_passages": _PICKED + " SELECT doc_id, pos, text, score FROM pk",
-    "passage_view": _PICKED + " SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY pos) || chr(10) || chr(10) || '[' || count(*) || ' of ' || any_value(total) || ' passages shown]' AS view FROM pk JOIN st USING (doc_id) GROUP BY doc_id",
+    "passage_view": _PICKED + " SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY pos) || chr(10) || chr(10) || '[' || count(*) || ' of ' || any_value(total) || ' passages shown — most relevant to the query. Omit query for the page head; offset pages it.]' AS view FROM pk JOIN st USING (doc_id) GROUP BY doc_id",
     "excerpt_best_passage": _PICKED + r", bp AS (SELECT doc_id, text FROM pk QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) = 1), fl AS (SELECT doc_id, regexp_replace(text, '\n+', ' ', 'g') AS e FROM bp WHERE length(text) > 80) SELECT doc_id, CASE WHEN length(e) > 500 THEN left(e, 499) || '…' ELSE e END AS excerpt FROM fl",
-    "head_view": "SELECT doc_id, CASE WHEN length(text) - 100 > 1000 THEN substr(text, 101, 880) || chr(10) || chr(10) || '[truncated at ' || 980 || ' of ' || length(text) || ' chars; continue with offset=' || 980 || ']' ELSE substr(text, 101, 1000) END AS view FROM documents",
+    "head_view": "SELECT doc_id, CASE WHEN n <= 100 THEN '[offset 100 is past the end (' || n || ' chars)]' WHEN n <= 980 THEN substr(text, 101, 880) ELSE substr(text, 101, (880 - k)::BIGINT) || chr(10) || chr(10) || '[truncated at ' || (980 - k) || ' of ' || n || ' chars — pass offset:' || (980 - k) || ' for the next part, or a query]' END AS view FROM (SELECT *, length(chr(10) || chr(10) || '[truncated at 980 of ' || n || ' chars — pass offset:980 for the next part, or a query]') AS k FROM (SELECT doc_id, text, length(text) AS n FROM documents))",
 }

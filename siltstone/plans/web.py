@@ -10,7 +10,6 @@ from siltstone.functions import html as H
 from siltstone.functions import text as T
 from siltstone.functions import urls as U
 from siltstone.operators import fusion as R
-from siltstone.sources import parsers as S
 from siltstone.storage import spread
 
 #: URLs with what the table lacks: ports, amp paths, hashbangs, unsafe hosts, known sites.
@@ -132,51 +131,30 @@ def extract_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", "url", "html").unionByName(fixed).select("page_id", H.extract_date(F.col("html"), F.col("url")).alias("date"))
 
 
-def research_material(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One briefing per query: its fused results as a block, then its three pages of different hosts."""
-    fused = R.fuse(_buckets(spark, sf_dir), 6)
-    block = S.format_results(fused.withColumn("excerpt", F.lit(None).cast("string")))
-    picks = R.host_diverse(fused, AGGREGATORS, 3).select("query_id", "pick", "url", "key")
-    texts = R.first_per_key(pages(spark, sf_dir).withColumn("key", U.normalize_url(F.col("url"))), "key", "page_id").select("key", H.html_text(F.col("html"), 12_000).alias("text"))
-    body = picks.join(texts, "key", "left").groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pick", F.concat(F.lit("### "), F.col("url"), F.lit("\n\n"), F.coalesce("text", F.lit(""))).alias("t")))), lambda s: s["t"]), "\n\n").alias("body"))
-    return block.join(body, "query_id", "left").select("query_id", F.concat_ws("\n\n", "block", "body").alias("material"))
-
-
-_SERP = '<a class="result__a" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fe.com%2Fa%2Bb&rut=1">One &amp; two</a><a class="result__snippet" href="x">First <b>snippet</b></a><a class="result__a" href="/settings">skip</a><a class="result__snippet">gone</a><a class="result__a" href="https://f.org/">Three</a><a class="result__snippet">Third</a>'
-_RSS = "<rss><item><title>Old</title><link>https://e.com/o</link><description>d &lt;b&gt;</description><pubDate>Mon, 01 Jan 2024 10:00:00 GMT</pubDate></item><item><title>New</title><link>https://e.com/n</link><pubDate>Wed, 31 Jan 2024 10:00:00 GMT</pubDate></item><item><title></title><link>https://e.com/x</link></item></rss>"
-_API = {
-    "stackoverflow": '{"items":[{"title":"A &amp; B","link":"https://s.com/1","score":3,"answer_count":2,"accepted_answer_id":9,"tags":["a","b","c","d","e"]}]}',
-    "wikipedia": '{"query":{"search":[{"title":"Apache Spark","snippet":"an <span>engine</span>"}]}}',
-    "npm": '{"objects":[{"package":{"name":"left","version":"1.2.3","description":"pad"},"score":{"detail":{"quality":0.91,"popularity":0.5}}}]}',
-    "github": '{"items":[{"full_name":"a/b","html_url":"https://github.com/a/b","stargazers_count":7,"language":"C","pushed_at":"2024-01-02T00:00:00Z"}]}',
-    "hn": '{"hits":[{"title":"T","objectID":"5","points":1,"num_comments":0,"story_text":"<p>x</p>","created_at":"2024-02-02T00:00:00Z"},{"objectID":"6"}]}',
-    "brave_api": '{"web":{"results":[{"title":"B","url":"https://b.com","description":"d","page_age":"2024-01-01T00:00:00"}]}}',
-    "tavily": '{"results":[{"title":"V","url":"https://v.com","content":"c","published_date":"2024-05-06"}]}',
-    "jina_api": '{"data":[{"title":"J","url":"https://j.com","description":"e","date":"Jan 5, 2024"}]}',
-}
-
-
-def serp_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = spark.createDataFrame([("q1", _SERP), ("q2", '<div class="anomaly-modal">')], "query_id string, page string")
-    return S.parse_ddg_html(made).select("query_id", "title", "url", "snippet", "error")
-
-
-def rss_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feed = spark.createDataFrame([("q1", _RSS)], "query_id string, page string")
-    return S.parse_rss(feed, "bing", F.lit("2024-02-01 00:00:00").cast("timestamp")).select("query_id", "title", "url", "snippet", "date", "date_kind")
+#: Fixed addresses' upstream ones.
+UPSTREAM = (
+    ("https://github.com/acme/tool", "https://api.github.com/repos/acme/tool https://raw.githubusercontent.com/acme/tool/HEAD/README.md"),
+    ("https://github.com/acme/tool/blob/main/src/a.py", "https://raw.githubusercontent.com/acme/tool/main/src/a.py"),
+    ("https://github.com/acme/tool/tree/main/src", "https://api.github.com/repos/acme/tool/contents/src?ref=main"),
+    ("https://github.com/acme/tool/issues/7", "https://api.github.com/repos/acme/tool/issues/7 https://api.github.com/repos/acme/tool/issues/7/comments?per_page=30"),
+    ("https://github.com/acme/tool/pull/8", "https://api.github.com/repos/acme/tool/pulls/8 https://api.github.com/repos/acme/tool/issues/8/comments?per_page=30"),
+    ("https://stackoverflow.com/questions/12/some-slug?utm_medium=x&b=2&a=1", "https://api.stackexchange.com/2.3/questions/12/answers?order=desc&sort=votes&site=stackoverflow&filter=withbody&pagesize=5 https://api.stackexchange.com/2.3/questions/12?site=stackoverflow&filter=!9Z(-wwYGT"),
+    ("https://unix.stackexchange.com/questions/5/why", "https://api.stackexchange.com/2.3/questions/5/answers?order=desc&sort=votes&site=unix&filter=withbody&pagesize=5 https://api.stackexchange.com/2.3/questions/5?site=unix&filter=!9Z(-wwYGT"),
+    ("https://superuser.com/a/77", "https://api.stackexchange.com/2.3/answers/77?order=desc&sort=votes&site=superuser&filter=withbody"),
+    ("https://old.reddit.com/r/x/comments/abc/t/", "https://old.reddit.com/r/x/comments/abc/t.json?limit=30"),
+    ("https://news.ycombinator.com/item?id=42", "https://hn.algolia.com/api/v1/items/42"),
+    ("https://en.wikipedia.org/wiki/Apache_Spark", "https://en.wikipedia.org/api/rest_v1/page/summary/Apache_Spark https://en.wikipedia.org/api/rest_v1/page/html/Apache_Spark"),
+    ("https://arxiv.org/abs/1706.03762", "https://export.arxiv.org/api/query?id_list=1706.03762&max_results=1"),
+)
 
 
-def api_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for kind, json in _API.items():
-        one = S.parse_api(kind, spark.createDataFrame([(kind, json)], "query_id string, json string"))
-        out = one if out is None else out.unionByName(one)
-    return out.select("query_id", "title", "url", "snippet", "meta")
+def adapter_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _urls(spark, sf_dir).select("url", F.array_join(U.adapter_upstream(F.col("url")), " ").alias("upstream"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (url_normalize, url_dedupe, url_safety, adapter_route, relay_policy, locale_codes, relevance_gate, gate_stats, rrf_fuse, host_diverse_pick, html_title, html_text, page_flags, extract_date, research_material, serp_parse, rss_parse, api_parse)
+    for f in (url_normalize, url_dedupe, url_safety, adapter_route, relay_policy, locale_codes, relevance_gate, gate_stats, rrf_fuse, host_diverse_pick, html_title, html_text, page_flags, extract_date, adapter_upstream)
 }
 
 
@@ -287,6 +265,7 @@ ORACLES = {
     "url_dedupe": f"SELECT key, min(page_id) AS page_id, count(*) AS n FROM ({_keys_sql('pages', 'page_id, url')}) GROUP BY key",
     "url_safety": f"WITH {_ALL} {_SAFETY}",
     "adapter_route": f"WITH {_ALL} {_ROUTE}",
+    "adapter_upstream": f"WITH {_ALL}, up(url, upstream) AS (VALUES {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in UPSTREAM)}) SELECT url, upstream FROM urls LEFT JOIN up USING (url)",
     "relay_policy": f"WITH {_ALL} {_RELAY}",
     "locale_codes": _LOCALE,
     "relevance_gate": f"WITH {_GATE} SELECT page_id, kept FROM gate",
@@ -297,7 +276,4 @@ ORACLES = {
     "html_text": f"SELECT page_id, text FROM ({_TEXT})",
     "page_flags": rf"SELECT page_id, sz < 400 AS thin, sz < 1200 AND regexp_matches(text, '(?i)subscribe|paywall|sign in to read') AS paywall, false AS hard_block, false AS soft_block, length(text) < 200 AND (length(html) > 20000 OR (length(html) > 5000 AND regexp_matches(html, '(?i)<app-root|<div id=\x22root\x22|<div id=\x22app\x22|ng-app|data-reactroot|__NEXT_DATA__|shreddit|<web-app'))) AS script_rendered FROM (SELECT *, length(regexp_replace(regexp_replace(text, '[\s\x{{00A0}}]+', ' ', 'g'), '^ | $', '', 'g')) AS sz FROM ({_TEXT}))",
     "extract_date": rf"SELECT page_id, CASE WHEN regexp_matches(url, '/20\d{{2}}/\d{{2}}/\d{{2}}(/|$)') THEN replace(regexp_extract(url, '/(20\d{{2}}/\d{{2}}/\d{{2}})(/|$)', 1), '/', '-') END AS date FROM pages UNION ALL SELECT * FROM (VALUES {', '.join(f'({-1 - i}, {_quoted(d) if d else chr(78) + chr(85) + chr(76) + chr(76)})' for i, d in enumerate(_DATES))})",
-    "serp_parse": "SELECT * FROM (VALUES ('q1', 'One & two', 'https://e.com/a+b', 'First snippet', NULL), ('q1', 'Three', 'https://f.org/', 'Third', NULL), ('q2', NULL, NULL, NULL, 'challenge')) t(query_id, title, url, snippet, error)",
-    "rss_parse": "SELECT * FROM (VALUES ('q1', 'Old', 'https://e.com/o', 'd <b>', '2024-01-01', 'published'), ('q1', 'New', 'https://e.com/n', '', '2024-01-31', 'indexed')) t(query_id, title, url, snippet, date, date_kind)",
-    "api_parse": "SELECT * FROM (VALUES ('stackoverflow', 'A & B', 'https://s.com/1', '', '▲3 · 2 answers · ✓accepted · a, b, c, d'), ('wikipedia', 'Apache Spark', 'https://en.wikipedia.org/wiki/Apache_Spark', 'an engine', NULL), ('npm', 'left v1.2.3', 'https://www.npmjs.com/package/left', 'pad', 'quality 91% · popularity 50%'), ('github', 'a/b', 'https://github.com/a/b', '', '★7 · C · updated 2024-01-02'), ('hn', 'T', 'https://news.ycombinator.com/item?id=5', 'x', '▲1 · 0 comments · 2024-02-02'), ('brave_api', 'B', 'https://b.com', 'd', '2024-01-01'), ('tavily', 'V', 'https://v.com', 'c', '2024-05-06'), ('jina_api', 'J', 'https://j.com', 'e', '2024-01-05')) t(query_id, title, url, snippet, meta)",
 }

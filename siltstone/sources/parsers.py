@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.html import iso_date
-from siltstone.functions.text import collapse, decode_entities, strip_tags
+from siltstone.functions.text import clip, collapse, decode_entities, strip_tags
 from siltstone.functions.urls import unwrap_redirect
 
 CHALLENGE = "anomaly-modal|g-recaptcha"
@@ -41,12 +41,14 @@ def is_url_echo(s: Column) -> Column:
 
 
 def parse_relayed(pages: DataFrame) -> DataFrame:
-    """Result pages relayed as markdown: of equal links the first gives the title, the next that is no URL echo the snippet."""
-    each = pages.select("query_id", F.posexplode(_all(F.col("page"), r"\[([^\]\n]{2,400})\]\((https?://[^)\s]+)\)", 0)).alias("i", "m"))
-    each = each.select("query_id", "i", collapse(F.regexp_replace(F.regexp_extract("m", r"^\[(.*)\]\(", 1), r"[*_`#]+", "")).alias("t"), F.coalesce(unwrap_redirect(F.regexp_extract("m", r"\]\((.*)\)$", 1))).alias("url")).where("url IS NOT NULL")
-    per = each.groupBy("query_id", "url").agg(F.min("i").alias("i"), F.array_sort(F.collect_list(F.struct("i", "t"))).alias("all"))
-    later = F.filter(F.slice("all", 2, 1000), lambda s: ~is_url_echo(s["t"]))
-    return per.select("query_id", "i", F.col("all")[0]["t"].alias("title"), "url", F.coalesce(F.substring(F.try_element_at(later, F.lit(1))["t"], 1, 300), F.lit("")).alias("snippet"), F.lit("ddg-jina").alias("engine"))
+    """Result pages relayed as markdown: of equal links the first gives the title, the next that is no URL echo the snippet. The date is the first in the text up to the next title."""
+    block = r"(?s)\[([^\]\n]{2,400})\]\((https?://[^)\s]+)\).*?(?=\[[^\]\n]{2,400}\]\(https?://|\z)"
+    each = pages.select("query_id", F.posexplode(_all(F.col("page"), block, 0)).alias("i", "b"))
+    each = each.select("query_id", "i", F.nullif(F.regexp_extract("b", r"\b(20\d{2}-\d{2}-\d{2})", 1), F.lit("")).alias("d"), F.regexp_extract("b", r"^\[[^\]\n]{2,400}\]\(https?://[^)\s]+\)", 0).alias("m"))
+    each = each.select("query_id", "i", "d", collapse(F.regexp_replace(F.regexp_extract("m", r"^\[(.*)\]\(", 1), r"[*_`#]+", "")).alias("t"), F.coalesce(unwrap_redirect(F.regexp_extract("m", r"\]\((.*)\)$", 1))).alias("url")).where("url IS NOT NULL")
+    firsts = each.groupBy("query_id", "url").agg(F.min(F.struct("i", "t")).alias("first"), F.min(F.when(F.col("d").isNotNull(), F.struct("i", "d")))["d"].alias("date"))
+    later = each.join(firsts, ["query_id", "url"]).where((F.col("i") > F.col("first.i")) & ~is_url_echo(F.col("t"))).groupBy("query_id", "url").agg(F.min(F.struct("i", "t"))["t"].alias("said"))
+    return firsts.join(later, ["query_id", "url"], "left").select("query_id", F.col("first.i").alias("i"), F.col("first.t").alias("title"), "url", F.coalesce(F.substring("said", 1, 300), F.lit("")).alias("snippet"), F.lit("ddg-jina").alias("engine"), "date")
 
 
 def parse_brave(pages: DataFrame) -> DataFrame:
@@ -113,10 +115,12 @@ def parse_api(kind: str, answers: DataFrame) -> DataFrame:
     return r.select("query_id", "i", title.alias("title"), url.alias("url"), snippet.alias("snippet"), meta.alias("meta"))
 
 
-def format_results(rows: DataFrame) -> DataFrame:
-    """(query_id, position, title, url, snippet, excerpt, date, date_kind, engines) to one numbered text block per query."""
-    when = F.when(F.col("date").isNotNull(), F.concat(F.when(F.col("date_kind") == "indexed", " (indexed ").otherwise(" ("), F.col("date"), F.lit(")"))).otherwise("")
-    body = F.coalesce(F.substring("excerpt", 1, 400), F.substring("snippet", 1, 250), F.lit(""))
-    by = F.when(F.col("engines") != "", F.concat(F.lit(" · "), F.col("engines"))).otherwise("")
-    line = F.concat(F.col("position").cast("string"), F.lit(". "), F.col("title"), when, by, F.lit("\n   "), F.col("url"), F.when(body != "", F.concat(F.lit("\n   "), body)).otherwise(""))
-    return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", line.alias("l")))), lambda s: s["l"]), "\n").alias("block"))
+def format_results(rows: DataFrame, by: str = "query_id") -> DataFrame:
+    """(query_id, position, title, url, snippet, excerpt, date, date_kind, engines[, meta]) to one numbered text block per query."""
+    when = F.when(F.col("date").isNotNull(), F.concat(F.when(F.col("date_kind") == "indexed", "  (indexed ").otherwise("  ("), F.col("date"), F.lit(")"))).otherwise("")
+    via = F.when(F.col("engines") != "", F.concat(F.lit("  · "), F.col("engines"))).otherwise("")
+    under = lambda c, n, before="": F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"\n   {before}"), clip(c, n) if n else c))
+    meta = F.coalesce(under(F.col("meta"), 0), F.lit("")) if "meta" in rows.columns else F.lit("")
+    body = F.coalesce(under(F.col("excerpt"), 400, "excerpt: "), under(F.col("snippet"), 250), F.lit(""))
+    line = F.concat(F.col("position").cast("string"), F.lit(". "), F.col("title"), F.lit("\n   "), F.col("url"), when, via, meta, body)
+    return rows.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", line.alias("l")))), lambda s: s["l"]), "\n\n").alias("block"))

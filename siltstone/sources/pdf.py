@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 _STREAM = re.compile(rb"<<(.*?)>>\s*stream\r?\n", re.S)
-_SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\bT[dDm*J]|\bT\*|'|\bET\b|-?\d+(?:\.\d+)?")
+#: Strings first, so that an operator's letters inside one don't count.
+_SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\bT[dDm]\b|\bT\*|'|\b[BE]T\b", re.S)
 _ESCAPE = re.compile(rb"\\([nrtbf()\\]|[0-7]{1,3}|\r?\n)")
 
 
@@ -35,18 +36,20 @@ def pdf_text(data: bytes | None) -> str | None:
                 continue
         elif b"/Filter" in m[1]:
             continue
-        for block in re.findall(rb"\bBT\b(.*?)\bET\b", body, re.S):
-            line = ""
-            for t in _SHOWN.findall(block):
-                if t[:1] == b"(":
-                    line += _literal(t[1:-1])
-                elif t[:1] == b"<":
-                    line += _literal(bytes.fromhex(re.sub(rb"\s", b"", t[1:-1]).decode().ljust(len(t) % 2, "0"))) if len(t) > 2 else ""
-                elif t in (b"Td", b"TD", b"T*", b"Tm", b"'") and line.strip():
-                    lines.append(line.strip())
-                    line = ""
-            if line.strip():
-                lines.append(line.strip())
+        line, inside = "", False
+        for t in _SHOWN.findall(body):
+            if t in (b"BT", b"ET"):
+                inside = t == b"BT"
+            elif inside and t[:1] == b"(":
+                line += _literal(t[1:-1])
+                continue
+            elif inside and t[:1] == b"<":
+                digits = re.sub(rb"\s", b"", t[1:-1]).decode()
+                line += _literal(bytes.fromhex(digits + "0" * (len(digits) % 2)))
+                continue
+            if inside and t in (b"Td", b"TD", b"T*", b"Tm", b"'") or t == b"ET":
+                lines += [line.strip()] if line.strip() else []
+                line = ""
     return "\n".join(lines) or None
 
 
