@@ -1,21 +1,27 @@
 """FLAC as a media column: lossless mono streams of 8-bit samples.
 
-``encode`` writes fixed-predictor, verbatim and constant subframes with
-partitioned Rice residuals, a seek table with one point a frame, and all
-checksums. ``decode`` reads those and linear-predictor (LPC) subframes,
-verifies every frame's CRC-8 and CRC-16 and the stream's MD5, and gives PCM
-blocks with their sample offsets; with the seek table it starts at any sample.
+``encode`` writes fixed- and linear-predictor (LPC), verbatim and constant
+subframes with partitioned Rice residuals, a seek table with one point a frame,
+and all checksums. ``decode`` reads mono streams of 8-bit samples from any
+encoder: LPC of any order, escaped partitions, wasted bits, blocks of varying
+size, with any seek table or none; where the table doesn't list every frame it
+looks for sync codes whose header and frame checksums are right. It verifies
+every frame's CRC-8 and CRC-16 and the stream's MD5, and gives PCM blocks with
+their sample offsets; ``read_at`` starts at any sample.
 Frames are decoded side by side: one NumPy step reads the next residual of
 every frame of a batch.
 
-Cases: null or empty text becomes 64 zero bytes; a damaged stream raises
-ValueError naming the frame; equal texts give equal streams; an empty table
-gives an empty result. Extra columns are not read.
+Cases: null or empty text becomes 64 zero bytes; very long texts become one
+stream of many frames, coded and decoded some at a time; a damaged stream, or
+one of several channels or other sample sizes, raises ValueError naming what is
+wrong; equal texts, and repeated rows, give equal streams; an empty table gives
+an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,6 +36,10 @@ from siltstone.llm.common import documents
 BLOCK = 4096
 RATE = 8000
 PARTITION_ORDER = 2
+#: Order of the encoder's linear predictors, and bits of a tap.
+LPC_ORDER, LPC_BITS = 4, 10
+#: Bytes of streams decoded together.
+DECODED = 4 << 20
 #: Frames coded or decoded side by side.
 FRAMES = 2048
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
@@ -134,6 +144,27 @@ def _rice(folded: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return k, np.take_along_axis(cost, k[..., None], 2)[..., 0].sum(axis=1)
 
 
+def _linear(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(taps, shift, residuals) of each row by linear prediction: least squares on the autocorrelation, rounded to LPC_BITS bits."""
+    count, n = samples.shape
+    if n <= 4 * LPC_ORDER:
+        return np.zeros((count, LPC_ORDER), np.int64), np.zeros(count, np.int64), np.full(samples.shape, 1 << 20, np.int32)
+    r = np.stack([np.einsum("ij,ij->i", samples[:, : n - k], samples[:, k:], dtype=np.int64) for k in range(LPC_ORDER + 1)], axis=1).astype(np.float64)  # whole numbers: the same sums everywhere
+    at = np.abs(np.arange(LPC_ORDER)[:, None] - np.arange(LPC_ORDER))
+    matrix = r[:, at] + np.eye(LPC_ORDER) * (r[:, :1, None] * 1e-6 + 1)
+    real = np.linalg.solve(matrix, r[:, 1:, None])[..., 0]
+    top = np.maximum(np.abs(real).max(axis=1), 1e-9)
+    shift = np.clip(LPC_BITS - 2 - np.floor(np.log2(top)).astype(np.int64), 0, 14)
+    most = (1 << LPC_BITS - 1) - 1
+    taps = np.clip(np.rint(real * (1 << shift)[:, None]), -most - 1, most).astype(np.int64)
+    guess = np.zeros((count, n - LPC_ORDER), np.int32)
+    for k in range(LPC_ORDER):
+        guess += taps[:, k : k + 1].astype(np.int32) * samples[:, LPC_ORDER - 1 - k : n - 1 - k]
+    residuals = np.zeros_like(samples)
+    residuals[:, LPC_ORDER:] = samples[:, LPC_ORDER:] - (guess >> shift[:, None].astype(np.int32))
+    return taps, shift, residuals
+
+
 def _encode_same(samples: np.ndarray, numbers: list[int], partition_order: int) -> list[bytes]:
     """Frames of samples, all of one length."""
     count, n = samples.shape
@@ -149,6 +180,10 @@ def _encode_same(samples: np.ndarray, numbers: list[int], partition_order: int)
         now = np.diff(now, axis=1)
     costs = np.stack(costs)
     kind = costs.argmin(axis=0)
+    taps, shift, linear = _linear(samples)
+    linear_cost = _rice(_fold(linear), parts)[1] + LPC_ORDER * (8 + LPC_BITS) + 9
+    kind[linear_cost < costs.min(axis=0)] = 7
+    costs = np.minimum(costs, linear_cost)
     kind[costs.min(axis=0) + 6 + 4 * parts >= 8 * n] = 5
     kind[(samples == samples[:, :1]).all(axis=1)] = 6
     for what in np.unique(kind):
@@ -161,15 +196,20 @@ def _encode_same(samples: np.ndarray, numbers: list[int], partition_order: int)
             value = np.concatenate([np.full((len(rows), 1), 0b00000010, np.int32), s & 0xFF], 1)
             low = width = np.full(value.shape, 8)
         else:
-            u = _fold(residuals[what][rows])
+            order = LPC_ORDER if what == 7 else what
+            u = _fold((linear if what == 7 else residuals[what])[rows])
             k, _ = _rice(u, parts)
             per = n // parts
             each = np.repeat(k, per, axis=1)
             code, code_n, code_low = (1 << each) | (u & ((1 << each) - 1)), (u >> each) + 1 + each, each + 1
-            pieces = [(np.full((len(rows), 1), (8 + what) << 1), 8), (s[:, :what] & 0xFF, 8), (np.full((len(rows), 1), parts.bit_length() - 1), 6)]
+            fill = lambda x, n=len(rows): np.full((n, 1), x)
+            pieces = [(fill((31 + order if what == 7 else 8 + what) << 1), 8), (s[:, :order] & 0xFF, 8)]
+            if what == 7:
+                pieces += [(fill(LPC_BITS - 1), 4), (shift[rows, None], 5), (taps[rows] & (1 << LPC_BITS) - 1, LPC_BITS)]
+            pieces.append((fill(parts.bit_length() - 1), 6))
             vs, ws, ls = [p for p, _ in pieces], [np.full(p.shape, w) for p, w in pieces], [np.full(p.shape, w) for p, w in pieces]
             for j in range(parts):
-                a, b = max(j * per, what if j == 0 else 0), (j + 1) * per
+                a, b = max(j * per, order if j == 0 else 0), (j + 1) * per
                 vs += [k[:, j : j + 1], code[:, a:b]]
                 ws += [np.full((len(rows), 1), 4), code_n[:, a:b]]
                 ls += [np.full((len(rows), 1), 4), code_low[:, a:b]]
@@ -266,35 +306,32 @@ def decode_frames(data: np.ndarray, start: np.ndarray, length: np.ndarray, depth
         raise ValueError(f"frame {int(np.nonzero(found != said)[0][0])}: CRC-16 differs")
     n, at = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
     for i, s in enumerate(start.tolist()):
-        if raw[s] != 0xFF or raw[s + 1] & 0xFE != 0xF8:
-            raise ValueError(f"frame {i}: no sync code")
-        first = raw[s + 4]
-        more = 0 if first < 0x80 else 8 - (first ^ 0xFF).bit_length() - 1
-        p, code = s + 5 + more, raw[s + 2] >> 4
-        if code == 6:
-            n[i], p = raw[p] + 1, p + 1
-        elif code == 7:
-            n[i], p = (raw[p] << 8 | raw[p + 1]) + 1, p + 2
-        else:
-            n[i] = 192 if code == 1 else 576 << (code - 2) if code <= 5 else 256 << (code - 8)
-        rate = raw[s + 2] & 15
-        p += {12: 1, 13: 2, 14: 2}.get(rate, 0)
-        if crc8(bytes(raw[s:p])) != raw[p]:
-            raise ValueError(f"frame {i}: CRC-8 differs")
-        at[i] = (p + 1) * 8
+        try:
+            n[i], first, _ = frame_header(raw, s)
+        except ValueError as wrong:
+            raise ValueError(f"frame {i}: {wrong}") from None
+        at[i] = first * 8
     bits = bits or Bits(data)
     head = bits.read(at, 8)
     at += 8
-    kind = head >> 1
-    if (head & 0x81).any():
-        raise ValueError("reserved or wasted bits are not supported")
+    kind = head >> 1 & 63
+    if (head & 0x80).any():
+        raise ValueError("reserved bit of a subframe")
+    wasted = np.zeros(len(start), np.int64)
+    some = np.nonzero(head & 1)[0]
+    if len(some):  # samples whose last bits are all zero come without them
+        wasted[some] = bits.zeros(at[some]) + 1
+        at[some] += wasted[some]
+    depths = depth - wasted
     out: list[np.ndarray] = [np.empty(0, np.int64)] * len(start)
     for i in np.nonzero(kind == 0)[0]:
-        out[i] = np.full(n[i], _signed(bits.read(at[i : i + 1], depth), depth)[0])
+        out[i] = np.full(n[i], _signed(bits.read(at[i : i + 1], depths[i]), depths[i])[0]) << wasted[i]
     verbatim = np.nonzero(kind == 1)[0]
     for i in verbatim:
-        out[i] = _signed(bits.read(at[i] + depth * np.arange(n[i]), depth), depth)
+        out[i] = _signed(bits.read(at[i] + depths[i] * np.arange(n[i]), depths[i]), depths[i]) << wasted[i]
     coded = np.nonzero(kind >= 8)[0]
+    if ((kind > 1) & (kind < 8)).any():
+        raise ValueError("reserved subframe type")
     if not len(coded):
         return out
     coded = coded[np.argsort(-n[coded], kind="stable")]
@@ -306,8 +343,9 @@ def decode_frames(data: np.ndarray, start: np.ndarray, length: np.ndarray, depth
     got = np.zeros((longest, len(coded)), np.int32)  # warm-up samples, then residuals
     for j in range(int(order.max())):
         live = order > j
-        got[j, live] = _signed(bits.read(p[live], depth), depth)
-        p = p + live * depth
+        own = depths[coded][live]
+        got[j, live] = _signed(bits.read(p[live], own), own)
+        p = p + live * depths[coded]
     lpc = what >= 32
     precision = np.where(lpc, bits.read(p, 4) + 1, 0)
     p = p + lpc * 4
@@ -385,40 +423,109 @@ def decode_frames(data: np.ndarray, start: np.ndarray, length: np.ndarray, depth
                     x[i] += (c * x[i - o : i][::-1]).sum(axis=0) >> s
                 got[:, rows] = x
     for j, i in enumerate(coded):
-        out[i] = got[: n[i], j]
+        out[i] = got[: n[i], j] << wasted[i]
     return out
 
 
-def layout(media: bytes) -> tuple[int, int, bytes, list[tuple[int, int, int]]]:
-    """(samples, bits a sample, MD5, seek points as (sample, byte, samples)) of a stream; bytes count from its start."""
+def frame_header(raw: memoryview | bytes, s: int) -> tuple[int, int, int]:
+    """(samples, place of the first subframe, frame or sample number) of the mono 8-bit frame at s."""
+    if s + 6 > len(raw) or raw[s] != 0xFF or raw[s + 1] & 0xFE != 0xF8:
+        raise ValueError("no sync code")
+    first, p = raw[s + 4], s + 5
+    number = first
+    if first >= 0x80:
+        more = 8 - (first ^ 0xFF).bit_length() - 1
+        number = first & 0x3F >> more
+        for k in range(more):
+            if p + k >= len(raw) or raw[p + k] >> 6 != 2:
+                raise ValueError("frame number")
+            number = number << 6 | raw[p + k] & 0x3F
+        p += more
+    size, rate = raw[s + 2] >> 4, raw[s + 2] & 15
+    end = p + (1 if size == 6 else 2 if size == 7 else 0) + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if end >= len(raw) or crc8(bytes(raw[s:end])) != raw[end]:
+        raise ValueError("CRC-8 differs")
+    if not size or rate == 15 or raw[s + 3] & 1:
+        raise ValueError("reserved header")
+    if raw[s + 3] >> 4:
+        raise ValueError("one channel only")
+    if raw[s + 3] >> 1 & 7 not in (0, 1):
+        raise ValueError("samples of 8 bits only")
+    if size == 6:
+        samples = raw[p] + 1
+    elif size == 7:
+        samples = (raw[p] << 8 | raw[p + 1]) + 1
+    else:
+        samples = 192 if size == 1 else 576 << (size - 2) if size <= 5 else 256 << (size - 8)
+    return samples, end + 1, number
+
+
+_SYNC = re.compile(b"\xff[\xf8\xf9]")
+
+
+def frames_of(media: bytes, at: int, total: int, points: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(first sample, byte, bytes) of every frame from byte `at` on: from the seek points where they follow each other, else by sync codes.
+
+    A frame ends where the next right header stands and its own checksum is
+    right up to there; sync codes inside a frame fail one of these.
+    """
+    if points and points[0][:2] == (0, at) and sum(n for _, _, n in points) == total and all(a[0] + a[2] == b[0] for a, b in zip(points, points[1:])):
+        ends = [b for _, b, _ in points[1:]] + [len(media)]
+        return [(s, b, e - b) for (s, b, _), e in zip(points, ends, strict=True)]
+    places = []
+    for m in _SYNC.finditer(media, at):
+        try:
+            places.append((m.start(), frame_header(media, m.start())[0]))
+        except ValueError:
+            if m.start() == at:
+                raise
+    if not places or places[0][0] != at:
+        raise ValueError("no frame where the first one should be")
+    data, out, k, sample = np.frombuffer(media, np.uint8), [], 0, 0
+    while k < len(places):
+        start, samples = places[k]
+        for j in range(k + 1, len(places) + 1):
+            end = places[j][0] if j < len(places) else len(media)
+            if end - start > 8 and int(crc16_each(data, np.array([start]), np.array([end - start - 2]))[0]) == media[end - 2] << 8 | media[end - 1]:
+                break
+        else:
+            raise ValueError(f"frame {len(out)}: CRC-16 differs")
+        out.append((sample, start, end - start))
+        sample += samples
+        k = j
+    return out
+
+
+def layout(media: bytes) -> tuple[int, bytes, list[tuple[int, int, int]]]:
+    """(samples, MD5, frames as (first sample, byte, bytes)) of a stream; bytes count from its start."""
     if media[:4] != b"fLaC":
         raise ValueError("no FLAC stream")
-    at, points, samples, depth, md5 = 4, [], 0, 0, b""
+    at, points, samples, md5 = 4, [], 0, b""
     while True:
         kind, size = media[at], int.from_bytes(media[at + 1 : at + 4], "big")
         body = media[at + 4 : at + 4 + size]
         if kind & 127 == 0:
             packed = int.from_bytes(body[10:18], "big")
-            samples, depth, md5 = packed & (1 << 36) - 1, (packed >> 36 & 31) + 1, body[18:34]
+            samples, md5 = packed & (1 << 36) - 1, body[18:34]
+            if packed >> 41 & 7 or (packed >> 36 & 31) != 7:
+                raise ValueError("one channel of 8-bit samples only")
         elif kind & 127 == 3:
             points = [struct.unpack(">QQH", body[k : k + 18]) for k in range(0, size, 18)]
         at += 4 + size
         if kind & 128:
             break
-    return samples, depth, md5, [(s, at + b, n) for s, b, n in points if s != (1 << 64) - 1]
+    frames = frames_of(media, at, samples, [(s, at + b, n) for s, b, n in points if s != (1 << 64) - 1])
+    return samples, md5, frames
 
 
 def decode(streams: list[bytes]) -> list[list[tuple[int, bytes]]]:
     """PCM blocks (sample offset, signed 8-bit samples) of each stream, whole and verified."""
     starts, lengths, owners, offsets = [], [], [], []
     base, layouts = 0, [layout(m) for m in streams]
-    for i, (m, (_, depth, _, points)) in enumerate(zip(streams, layouts, strict=True)):
-        if depth != 8:
-            raise ValueError("samples of 8 bits only")
-        ends = [b for _, b, _ in points[1:]] + [len(m)]
-        for (s, b, _), e in zip(points, ends, strict=True):
+    for i, (m, (_, _, frames)) in enumerate(zip(streams, layouts, strict=True)):
+        for s, b, size in frames:
             starts.append(base + b)
-            lengths.append(e - b)
+            lengths.append(size)
             owners.append(i)
             offsets.append(s)
         base += len(m)
@@ -433,20 +540,21 @@ def decode(streams: list[bytes]) -> list[list[tuple[int, bytes]]]:
             out[owners[j]].append((offsets[j], x.astype(np.int8).tobytes()))
     for blocks in out:
         blocks.sort()
-    for i, (blocks, (samples, _, md5, _)) in enumerate(zip(out, layouts, strict=True)):
+    for i, (blocks, (samples, md5, _)) in enumerate(zip(out, layouts, strict=True)):
         pcm = b"".join(b for _, b in blocks)
-        if len(pcm) != samples or hashlib.md5(pcm).digest() != md5:
+        # a stream may leave its number of samples, and its MD5, unsaid
+        if (samples and len(pcm) != samples) or (any(md5) and hashlib.md5(pcm).digest() != md5):
             raise ValueError(f"stream {i}: samples or MD5 differ")
     return out
 
 
 def read_at(media: bytes, sample: int, count: int) -> bytes:
     """count samples from a sample on, decoding only the frames that hold them."""
-    _, _, _, points = layout(media)
-    ends = [b for _, b, _ in points[1:]] + [len(media)]
-    hit = [(s, b, e) for (s, b, n), e in zip(points, ends, strict=True) if s < sample + count and s + n > sample]
+    _, _, frames = layout(media)
+    nexts = [s for s, _, _ in frames[1:]] + [1 << 62]
+    hit = [f for f, after in zip(frames, nexts, strict=True) if f[0] < sample + count and after > sample]
     data = np.frombuffer(media, np.uint8)
-    pcm = b"".join(x.astype(np.int8).tobytes() for x in decode_frames(data, np.array([b for _, b, _ in hit], np.int64), np.array([e - b for _, b, e in hit], np.int64)))
+    pcm = b"".join(x.astype(np.int8).tobytes() for x in decode_frames(data, np.array([b for _, b, _ in hit], np.int64), np.array([n for _, _, n in hit], np.int64)))
     return pcm[sample - hit[0][0] :][:count] if hit else b""
 
 
@@ -480,11 +588,23 @@ def flac_streams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_streams, "doc_id long, n_bytes long, media binary")
 
 
+def _by_bytes(media: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """(first, streams) in runs of about DECODED bytes."""
+    first, size = 0, 0
+    for i, m in enumerate(media):
+        size += len(m)
+        if size >= DECODED:
+            yield first, media[first : i + 1]
+            first, size = i + 1, 0
+    if first < len(media):
+        yield first, media[first:]
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         media = batch.column(1).to_pylist()
-        for k in range(0, len(media), 1024):
-            rows = [(i, j, s, len(b), b) for i, blocks in enumerate(decode(media[k : k + 1024])) for j, (s, b) in enumerate(blocks)]
+        for k, some in _by_bytes(media):
+            rows = [(i, j, s, len(b), b) for i, blocks in enumerate(decode(some)) for j, (s, b) in enumerate(blocks)]
             row, block, offset, n, pcm = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(k).take(pa.array(row)), pa.array(block, pa.int32()), pa.array(offset, pa.int64()), pa.array(n, pa.int32()), pa.array(pcm, pa.binary())], names=["doc_id", "block", "sample_offset", "n_samples", "pcm"])
 
@@ -503,15 +623,11 @@ def feature(pcm: bytes) -> str:
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     for batch in batches:
-        media = batch.column(2).to_pylist()
-        pcm = []
-        for k in range(0, len(media), 1024):
-            pcm += [b"".join(b for _, b in blocks) for blocks in decode(media[k : k + 1024])]
-        back = [samples_of(p) for p in pcm]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([len(p) for p in back], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in back]), pa.array([zlib.crc32(p[-64:]) for p in back], pa.int64()), pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array([feature(p) for p in pcm])],
-            names=names,
-        )
+        for k, media in _by_bytes(batch.column(2).to_pylist()):
+            pcm = [b"".join(b for _, b in blocks) for blocks in decode(media)]
+            back = [samples_of(p) for p in pcm]
+            columns = [pa.array([len(p) for p in back], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in back]), pa.array([zlib.crc32(p[-64:]) for p in back], pa.int64()), pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array([feature(p) for p in pcm])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, len(media)), batch.column(1).slice(k, len(media)), *columns], names=names)
 
 
 def op6_flac_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
