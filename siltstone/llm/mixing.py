@@ -9,7 +9,7 @@ sizes are summed by source and hash bucket, a running sum over at most
 boundary bucket is summed again by its next hash bits, down to whole hashes.
 Thresholds for a smaller budget lie lower, so smaller mixes nest in larger ones.
 
-Cases: null or empty text has size 0 and takes 0; a null source is a source of
+Cases: null or empty text has size 0 and takes 0; very long texts count whole; a null source is a source of
 its own, sorted last; rows of equal hash (repeated rows) at the threshold
 share what is left; an empty
 table gives an empty result. Extra columns are kept and never read.
@@ -101,11 +101,12 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """docs with every row repeated as often as the mix takes it, all columns kept.
 
     The one document of a source at which its budget ends comes once more with
-    its first words only, joined by single spaces. Rows that share a doc_id are
-    taken alike.
+    its first words only, joined by single spaces. Rows that share doc_id and
+    source are taken alike.
     """
-    taken = mix_sources(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies"), F.max("rest").alias("_rest")).where("_copies > 0 OR _rest > 0").withColumnRenamed("doc_id", "_doc")
-    out = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_doc"]))
+    per = mix_sources(docs).groupBy(F.col("doc_id").alias("_doc"), F.col("source").alias("_from"))
+    taken = per.agg(F.max("copies").alias("_copies"), F.max("rest").alias("_rest")).where("_copies > 0 OR _rest > 0")
+    out = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_doc"]) & docs["source"].eqNullSafe(taken["_from"]))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_rest").cast("int")), " ")
     whole = F.when(F.col("_copies") > 0, F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).otherwise(F.array().cast("array<int>"))
     out = out.withColumn("_piece", F.explode(F.concat(whole, F.when(F.col("_rest") > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))))

@@ -337,6 +337,18 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+#: Every two documents that share a shingle, and all that each can reach.
+ORACLE = rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(sh) AS sh FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4]) END) AS sh FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= {THRESHOLD} * (a.n + b.n - c)),
+t AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, other) AS (SELECT x, y FROM t UNION SELECT r.doc_id, t.y FROM r JOIN t ON t.x = r.other),
+m AS (SELECT doc_id, least(doc_id, min(other)) AS component FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id"""
+
+
 def without_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """docs without the rows that aren't kept. All columns stay."""
     gone = near_duplicates(docs, threshold=threshold).where("NOT kept").select(F.col("doc_id").alias("_doc")).distinct()

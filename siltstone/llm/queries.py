@@ -19,4 +19,4 @@ QUERIES = {
         licenses.op10_license_digests,
     )
 }
-ORACLES = {"op1_mix_sources": mixing.ORACLE, "op4_secret_ledger": secrets.ORACLE, "op10_license_digests": licenses.ORACLE}
+ORACLES = {"op1_mix_sources": mixing.ORACLE, "op2_minhash_near_dedup": neardup.ORACLE, "op4_secret_ledger": secrets.ORACLE, "op8_suffix_dedup": suffixes.ORACLE, "op10_license_digests": licenses.ORACLE}

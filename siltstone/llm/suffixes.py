@@ -405,3 +405,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), texts=False)
+
+
+#: Every string of SPAN bytes by its digest; bytes are written as two digits each.
+ORACLE = f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+c AS (SELECT doc_id, c, substr(h, 1000 * c + 1, {1000 + 2 * SPAN - 2}) AS part, least(500, n - {SPAN - 1} - 500 * c) AS size FROM (SELECT *, unnest(range(0, (n - {SPAN - 1} + 499) // 500)) AS c FROM d WHERE n >= {SPAN})),
+w AS (SELECT doc_id, 500 * c + j AS i, md5(substr(part, 2 * j + 1, {2 * SPAN})) AS k FROM (SELECT *, unnest(range(0, size)) AS j FROM c)),
+m AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {SPAN} THEN 0 ELSE 1 END AS new FROM m)),
+s AS (SELECT doc_id, run, min(i) AS a, max(i) + {SPAN} AS b FROM g GROUP BY ALL),
+e AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY run), 0) AS before FROM s),
+k AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS runs, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY run) AS kept FROM e JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(runs, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id"""
