@@ -298,12 +298,12 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     new_words = lambda v: _renamed(_name_words(v), _female(v), key, word_attempt)
     tried = lambda v: _let(kind_of(v), lambda kind: attempt_of(kind, canonical(kind, v)))
     new = F.transform(hits, lambda v: F.when(kind_of(v) == "name", F.concat_ws(" ", F.split(v, " ")[0], F.array_join(new_words(v), " "))).otherwise(_let(tried(v), lambda n: surrogate(v, n, key))))
-    # without title: full names first, then last words
+    # without title: full names of several words first, then last words
     names = F.filter(hits, lambda v: kind_of(v) == "name")
     words = F.transform(names, lambda v: F.struct(_name_words(v).alias("old"), new_words(v).alias("new")))
     pick = lambda f: lambda ws: F.transform(ws, lambda w: F.struct(f(w["old"]).alias("old"), f(w["new"]).alias("new")))
     pairs, changed = (fresh(docs, c) for c in ("_pairs", "_new"))
-    out = out.withColumn(changed, new).withColumn(pairs, _let(words, lambda ws: F.concat(pick(lambda x: F.array_join(x, " "))(ws), pick(lambda x: F.element_at(x, -1))(ws))))
+    out = out.withColumn(changed, new).withColumn(pairs, _let(words, lambda ws: F.concat(F.filter(pick(lambda x: F.array_join(x, " "))(ws), lambda p: p["old"].contains(" ")), pick(lambda x: F.element_at(x, -1))(ws))))
     untitled = lambda gap: F.when(F.size(pairs) > 0, F.aggregate(F.col(pairs), gap, lambda g, p: F.regexp_replace(g, F.concat(F.lit(r"(?<!\p{L})"), p["old"], F.lit(r"(?!\p{L})")), p["new"]))).otherwise(gap)
     joined = F.array_join(F.transform(F.arrays_zip(F.split(text, ENTITY, -1).alias("g"), F.col(changed).alias("s")), lambda m: F.concat(untitled(F.coalesce(m["g"], F.lit(""))), F.coalesce(m["s"], F.lit("")))), "")
     count = lambda kind: F.coalesce(F.size(F.filter(hits, lambda v: kind_of(v) == kind)), F.lit(0)).cast("bigint")
