@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from siltstone.plans import registry
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-HEADLINE = ("bm25_topk", "doc_frequency", "split_passages", "url_dedupe", "rrf_fuse", "html_text", "ttl_cache", "throttle_schedule", "thread_text")
+HEADLINE = ("bm25_topk", "doc_frequency", "split_passages", "url_dedupe", "rrf_fuse", "html_text", "ttl_cache", "throttle_schedule", "thread_text", "html_markdown", "search_deep", "fetch_page_query", "api_parse")
 
 
 def main() -> None:

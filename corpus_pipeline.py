@@ -5,6 +5,14 @@ and read again as the next stage's docs. The quality stage drops what the
 classifier rejects, the next keeps one document of each group of near copies,
 the third replaces secrets in place, the fourth repeats and leaves out
 documents as the mix takes them, and the last packs all that is left.
+
+Cases: all stages but the last keep the columns of their input, whatever their
+names, and read doc_id, text and source alone. A null or blank text has no
+words, so the quality stage drops it; a null doc_id is never a near copy; a
+null source is a source of its own. Rows that share a doc_id or a text count
+one by one, but for the near duplicates, where one of equal texts stays. Very
+long texts pass whole. Without labels the quality stage keeps every text with
+words; from an empty table every stage gives an empty one.
 """
 
 from __future__ import annotations
