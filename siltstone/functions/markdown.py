@@ -35,10 +35,12 @@ ENDS = {
     "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}),
     **{t: ({"tbody", "thead", "tfoot"}, {"table"}) for t in ("tbody", "thead", "tfoot")},
 }
+# Classes that speak for and against a block, and lines that are chrome. Fixed values.
 GOOD_CLASS = "content|article|post|entry|body|main|markdown|docs"
 BAD_CLASS = r"comment|sidebar|footer|nav|related|share|promo|advert|ads?-|cookie|banner|social|newsletter|widget|mw-portlet|vector-menu|(^|[-_])menu(s)?($|[-_](item|container|list|bar|wrapper|toggle))"
 CHROME = r"(?i)^(skip to (main )?content|toggle (the )?table of contents|jump to (content|nav)|advertisement|cookie (notice|settings)?|edit links|views|actions|print/export|in other projects|appearance|move to sidebar|tools)\b|^\d+ languages$"
 ARXIV_CHROME = r"^# Computer Science >|^arXiv:\d{4}\.\d{4,5}( \(cs\))?$"
+#: Names of languages, as lists of translations show them. Fixed values.
 LANGUAGES = frozenset(
     """afrikaans,albanian,amharic,arabic,armenian,asturian,assamese,avaric,aymara,azerbaijani,bashkir,basque,belarusian,bengali,bosnian,breton,bulgarian,burmese,
 catalan,cebuano,chamorro,cherokee,chichewa,chinese,corsican,cree,croatian,czech,danish,dutch,dzongkha,english,esperanto,estonian,ewe,faroese,fijian,filipino,finnish,

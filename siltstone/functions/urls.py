@@ -19,6 +19,7 @@ RESERVED_OWNERS = (
 #: Private IPv4 networks. Fixed values.
 PRIVATE_V4 = (("127.0.0.0", 8), ("10.0.0.0", 8), ("172.16.0.0", 12), ("192.168.0.0", 16), ("169.254.0.0", 16), ("100.64.0.0", 10), ("0.0.0.0", 8))
 
+# Names, parameters and paths that are blocked or left out. Fixed values.
 BLOCKED_NAME = r"(?i)^(localhost|localhost\.localdomain)$|\.(local|internal|localhost|home\.arpa)$"
 TRACKING = r"(?i)^(utm_\w+|fbclid|gclid|ref|ref_src|si)$"
 SECRET_PARAM = r"(?i)^(token|key|api[_-]?key|auth|authorization|sig|signature|secret|password|access[_-]?token|code|session|jwt)$"
