@@ -138,6 +138,32 @@ def retry_schedule(failures: DataFrame, attempts: int = 3) -> DataFrame:
     return each.where(enough).select("id", "attempt", start.cast("bigint").alias("start_ms"))
 
 
+def fetch_ladder(legs: DataFrame) -> DataFrame:
+    """legs(id, adapter_text, cooling, status, content_type, text, archive_text, relay_text, raw) to (id, source, text, error): the first source that gives a page.
+
+    A site's own answer comes first. A host that cools down leaves the archive
+    and the relay. An answer stands, unless it is a thin page of which the relay
+    has more. Refused, limited and unavailable answers (401, 403, 429, 503) go
+    to the archive; refused ones, and those that fail for now, to the relay. The
+    relay's text counts only where it is a page (relay_outcome).
+    """
+    size = lambda c: F.length(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s\x{00A0}]+", " "), "^ | $", ""))
+    status, html = F.col("status"), F.coalesce(F.col("content_type"), F.lit("")).contains("html")
+    relay = F.when(relay_outcome(F.coalesce("relay_text", F.lit(""))) == "ok", F.col("relay_text"))
+    kind = error_class(status, F.lit(None).cast("string"))
+    ok = status.between(200, 299)
+    thin = ok & html & (size(F.col("text")) < 400) & ~F.col("raw")
+    archived = kind.isin("auth", "ratelimit") | (status == 503)
+    with_relay = legs.withColumn("_relay", relay)
+    source = (
+        F.when(F.col("adapter_text").isNotNull() & ~F.col("raw"), "adapter").when(F.col("cooling") & F.col("archive_text").isNotNull(), "wayback").when(F.col("cooling") & F.col("_relay").isNotNull(), "relay").when(F.col("cooling"), None)
+        .when(thin & (size(F.col("_relay")) > size(F.col("text"))), "relay").when(ok, "direct").when(archived & F.col("archive_text").isNotNull(), "wayback").when(kind.isin("auth", "transient") & F.col("_relay").isNotNull(), "relay")
+    )
+    out = with_relay.withColumn("source", source)
+    text = F.when(F.col("source") == "adapter", F.col("adapter_text")).when(F.col("source") == "wayback", F.col("archive_text")).when(F.col("source") == "relay", F.col("_relay")).when(F.col("source") == "direct", F.col("text"))
+    return out.select("id", "source", text.alias("text"), F.when(F.col("source").isNull(), F.when(F.col("cooling"), "HTTP 429").otherwise(F.concat(F.lit("HTTP "), status.cast("string")))).alias("error"))
+
+
 def search_request(query: Column, max_results: Column, recency: Column, lang: Column, engine: Column, deep: Column) -> dict[str, Column]:
     """A search's parameters within their bounds, and the key under which its result is kept.
 

@@ -87,6 +87,17 @@ def relay_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", O.relay_outcome(F.coalesce(made, F.lit(""))).alias("outcome"))
 
 
+def fetch_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as bodies, of which each source has its own; every seventh body is thin."""
+    n, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    has = lambda k, name: F.when(n % k == 0, F.concat(F.lit(f"{name} of "), n.cast("string"), F.lit(" "), text))
+    made = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        n.alias("id"), has(11, "site").alias("adapter_text"), (n % 13 == 0).alias("cooling"), _of(STATUS, n).alias("status"), F.when(n % 4 == 3, "application/json").otherwise("text/html").alias("content_type"),
+        F.when(n % 7 == 0, F.lit("thin")).otherwise(text).alias("text"), has(3, "archive").alias("archive_text"), F.when(n % 10 == 5, F.lit(f"{_HARD} from this page, as it seems to be")).otherwise(has(2, "relay of the page")).alias("relay_text"), (n % 17 == 0).alias("raw"),
+    )
+    return O.fetch_ladder(made)
+
+
 def snapshot_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's order nearest to a day of their own."""
     days = F.date_add(F.lit("1995-06-17").cast("date"), (F.col("c_custkey") % 1000).cast("int"))
@@ -147,7 +158,7 @@ def cache_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.evicting_cache(own, "event_type", 1, logs.TTL * 4, recent=True).select(F.col("id").alias("event_id"), "hit", "size")
 
 
-QUERIES = {f.__name__: f for f in (response_outcomes, search_fallback, search_race, redirect_chase, capped_bodies, content_route, relay_outcomes, snapshot_asof, dns_safety, retry_schedule, search_requests, search_cache, cache_load, cache_flush, cache_recent)}
+QUERIES = {f.__name__: f for f in (response_outcomes, search_fallback, search_race, redirect_chase, capped_bodies, content_route, relay_outcomes, fetch_ladder, snapshot_asof, dns_safety, retry_schedule, search_requests, search_cache, cache_load, cache_flush, cache_recent)}
 
 
 def _pick(values: tuple, index: str) -> str:
@@ -184,6 +195,13 @@ FROM (SELECT page_id, n, page_id % {len(KINDS)} IN (2, 5) AS b, page_id % 3 = 0
     CASE WHEN page_id % 11 = 0 OR k = 'application/pdf' THEN 'pdf' WHEN k IN ('image/png', 'application/octet-stream') THEN 'binary' ELSE 'raw' END AS raw_route FROM (SELECT page_id, {_pick(_KIND_TOLD, 'page_id')} AS k FROM pages)""",
     "relay_outcomes": r"""SELECT doc_id, CASE WHEN k = 1 THEN 'origin 404' WHEN k NOT IN (2, 3, 4) AND length(trim(t)) < 40 THEN 'empty' WHEN k = 2 AND length(trim(t)) + 20 < 40 THEN 'empty' WHEN k = 4 AND length(trim(t, ' ')) + 17 < 40 AND length(trim('Just a moment...' || chr(10) || t)) < 40 THEN 'empty' WHEN k = 2 OR k = 4 THEN 'blocked'
     WHEN k = 3 AND length(trim(regexp_replace('Markdown Content:' || chr(10) || t, '[\s\x{00A0}]+', ' ', 'g'))) < 600 THEN CASE WHEN length(trim('Just a moment...' || chr(10) || 'Markdown Content:' || chr(10) || t)) < 40 THEN 'empty' ELSE 'blocked' END ELSE 'ok' END AS outcome FROM (SELECT doc_id, doc_id % 6 AS k, coalesce(text, '') AS t FROM documents)""",
+    "fetch_ladder": rf"""WITH b AS (SELECT doc_id AS n, coalesce(text, '') AS t, {_pick(STATUS, 'doc_id')} AS s FROM documents),
+l AS (SELECT n, s, CASE WHEN n % 7 = 0 THEN 'thin' ELSE t END AS body, CASE WHEN n % 11 = 0 AND n % 17 <> 0 THEN 'site of ' || n || ' ' || t END AS site, CASE WHEN n % 3 = 0 THEN 'archive of ' || n || ' ' || t END AS arch, CASE WHEN n % 10 <> 5 AND n % 2 = 0 THEN 'relay of the page of ' || n || ' ' || t END AS rel0 FROM b),
+c AS (SELECT *, CASE WHEN length(trim(rel0)) >= 40 THEN rel0 END AS rel, length(regexp_replace(regexp_replace(body, '[\s\x{{00A0}}]+', ' ', 'g'), '^ | $', '', 'g')) AS bs FROM l),
+e AS (SELECT *, length(regexp_replace(regexp_replace(rel, '[\s\x{{00A0}}]+', ' ', 'g'), '^ | $', '', 'g')) AS es FROM c),
+d AS (SELECT *, CASE WHEN site IS NOT NULL THEN 'adapter' WHEN n % 13 = 0 THEN CASE WHEN arch IS NOT NULL THEN 'wayback' WHEN rel IS NOT NULL THEN 'relay' END
+    WHEN s BETWEEN 200 AND 299 THEN CASE WHEN n % 4 <> 3 AND bs < 400 AND n % 17 <> 0 AND es > bs THEN 'relay' ELSE 'direct' END WHEN s IN (401, 403, 429, 503) AND arch IS NOT NULL THEN 'wayback' WHEN s IN (401, 403, 301, 500, 503) AND rel IS NOT NULL THEN 'relay' END AS source FROM e)
+SELECT n AS id, source, CASE source WHEN 'adapter' THEN site WHEN 'wayback' THEN arch WHEN 'relay' THEN rel WHEN 'direct' THEN body END AS text, CASE WHEN source IS NULL THEN CASE WHEN n % 13 = 0 THEN 'HTTP 429' ELSE 'HTTP ' || s END END AS error FROM d""",
     "snapshot_asof": "SELECT c_custkey AS key, o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS taken FROM customer JOIN orders ON o_custkey = c_custkey QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY abs(epoch_us(o_orderdate) - epoch_us((DATE '1995-06-17' + (c_custkey % 1000)::INT)::TIMESTAMP)), o_orderdate, o_orderkey) = 1",
     "dns_safety": "WITH d AS (SELECT o_custkey, min(CASE WHEN o_orderkey % 50 = 0 THEN '192.168.' || o_orderkey % 200 || '.1' END) AS bad FROM orders GROUP BY 1) SELECT CASE WHEN c_custkey % 10 = 0 THEN 'https://8.8.8.' || c_custkey % 250 || '/' || c_custkey ELSE 'https://C' || c_custkey || '.example/' END AS url, CASE WHEN c_custkey % 10 = 0 THEN NULL WHEN o_custkey IS NULL THEN 'dns lookup failed' WHEN bad IS NOT NULL THEN 'resolves to ' || bad END AS reason FROM customer LEFT JOIN d ON o_custkey = c_custkey",
     "retry_schedule": "WITH f AS (SELECT event_id, event_id % 40 * 100 + 500 AS d, event_id % 7 * 50 AS k FROM events WHERE event_type = 'error') SELECT event_id, 0::BIGINT AS attempt, 0::BIGINT AS start_ms FROM f UNION ALL SELECT event_id, 1, k + 300 FROM f WHERE d - k >= 800 UNION ALL SELECT event_id, 2, 2 * k + 1200 FROM f WHERE d - k >= 800 AND d - (2 * k + 300) >= 1400",

@@ -82,7 +82,7 @@ def thread_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def thread_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation as one text, its turns in order, long ones cut."""
+    """Each conversation as one text, its turns in order; of each turn the first 500 characters, as of comments in a thread."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.substring("text", 1, 500).alias("text")))).alias("t"))
     return rows.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n\n").alias("text"))
 
