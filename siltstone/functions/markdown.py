@@ -63,7 +63,7 @@ HINTS = (
 
 _GOOD, _BAD = re.compile(GOOD_CLASS, re.I), re.compile(BAD_CLASS, re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|</(?P<close>[^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<open>[a-zA-Z][a-zA-Z0-9-]*)(?P<rest>[^>]*)>|<[^>]*>", re.S)
-_ATTR = re.compile(r"""([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=[\s/]|$))""")
+_ATTR = re.compile(r"""([A-Za-z_:][^\s=/>"']*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _ENTITY = re.compile(r"&(?:#[xX]([0-9a-fA-F]{1,6})|#([0-9]{1,7})|([A-Za-z]\w*));")
 _SPACE = re.compile(r"\s+")
 
