@@ -17,6 +17,8 @@ result. Extra columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +72,8 @@ TEXTS = (
 #: (id, text): each text alone and under each of its headings.
 KNOWN = tuple((i, f"{h}\n\n{t}" if h else t) for i, headings, t in TEXTS for h in ("", *headings))
 
+#: Known texts whose digests, of about 100 bytes each, are sent to all executors at most.
+BROADCAST = 10_000
 #: Words after "copyright" that belong to licence prose, not to a copyright line. Fixed values.
 PROSE = ("and", "by", "holder", "holders", "in", "interest", "law", "laws", "license", "licence", "notice", "notices", "or", "owner", "owners", "protection", "statement", "to")
 _MARK = r"[^\S\n]*(?:(?://|/?\*|#|;|--|%|>|<!--)[^\S\n]*)*+"
@@ -101,6 +105,22 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
+def marking_words(forms: list[str]) -> list[str]:
+    """A few words of which each canonical text has one that no equivalent spelling makes, so that it stands as it is in any text of that form. None if a text has no such word."""
+    made = {w for _, b in SPELLINGS for w in b.split()} | {"https"}
+    left = [{w for w in f.split() if w not in made} for f in forms]
+    out = []
+    while left:
+        counts = Counter(w for words in left for w in words)
+        if not counts:
+            return None
+        # the word that marks most texts; of equal ones the longest
+        best = max(counts, key=lambda w: (counts[w] * (len(w) > 4), len(w), w))
+        out.append(best)
+        left = [words for words in left if best not in words]
+    return out
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(KNOWN), "license_id string, license_text string")
 
@@ -114,16 +134,22 @@ def license_texts(spark: SparkSession, folder: str) -> DataFrame:
 def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, digest, license_id, notices): license_id of the whole text, null where no known licence has its digest; notices: ids of single lines, sorted and comma-joined, null without any.
 
-    One row per known digest; Spark broadcasts that side only if its size at
-    run time allows it. Lines' findings belong to texts, told by their SHA-256,
-    so that only those found are shuffled.
+    One row per known digest, counted first: up to BROADCAST of them are sent to
+    all executors, and only lines with a word that some known text has are
+    digested; more are joined by a shuffle. Lines' findings belong to texts,
+    told by their SHA-256, so that only those found are shuffled.
     """
-    nothing = F.sha2(F.lit("").cast("binary"), 256)
-    table = known.select("license_id", digest(F.col("license_text")).alias("digest")).where(F.col("digest") != nothing).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    texts = known.select("license_id", canonical(F.col("license_text")).alias("form")).where("form <> ''").groupBy("form").agg(F.min("license_id").alias("license_id"))
+    forms = [r["form"] for r in texts.select("form").limit(BROADCAST + 1).collect()]
+    table = texts.select("license_id", F.sha2(F.col("form").cast("binary"), 256).alias("digest"))
+    marks = None
+    if len(forms) <= BROADCAST:
+        table, marks = F.broadcast(table), marking_words(forms)
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("_text"), digest(text).alias("digest"))
-    lines = docs.where(text.contains("\n")).select(F.sha2(text.cast("binary"), 256).alias("_text"), F.split(text, "\n").alias("_lines"))
-    lines = lines.select("_text", F.explode("_lines").alias("_line")).where("length(_line) > 0")
+    marked = lambda c: F.lit(True) if marks is None else F.lower(c).rlike("|".join(marks)) if marks else F.lit(False)
+    lines = docs.where(text.contains("\n") & marked(text)).select(F.sha2(text.cast("binary"), 256).alias("_text"), F.split(text, "\n").alias("_lines"))
+    lines = lines.select("_text", F.explode("_lines").alias("_line")).where(marked(F.col("_line")))
     found = lines.select("_text", digest(F.col("_line")).alias("digest")).join(table, "digest")
     notices = found.groupBy("_text").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
     return own.join(table, "digest", "left").join(notices, "_text", "left").select("doc_id", "digest", "license_id", "notices")
