@@ -49,7 +49,7 @@ _WINDOW = SPAN - GRAM + 1
 #: Bytes sorted together; the segments of one key are never split.
 SORTED = 1 << 19
 #: Different segments of an anchor above which they are dealt by what surrounds it too.
-HOT = 4096
+HOT = 256
 #: Parts of a window's length by which such segments are cut.
 PARTS = 8
 
