@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import documents, materialize, slices
@@ -45,6 +45,8 @@ FIRST_BANDS = 4
 SKETCH_BITS = 2048
 #: Members of a bucket that are compared with as many others in one task.
 BLOCK = 4096
+#: Bits of the filter of documents whose texts are compared: for each of them, and at most. With fewer for each, more texts reach the join, which drops them.
+FILTER_BITS, FILTER_MOST = 16, 1 << 26
 #: Links need 100 * intersection >= threshold * union; this is op2's threshold.
 THRESHOLD = 85
 #: A pair at the threshold shares no band with at most this probability.
@@ -147,11 +149,34 @@ def _signatures(n: int):
     return signatures
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole texts, compressed: a third of what their sets of hashes take in a shuffle."""
-    pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in slices(batches):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "body"])
+def _places(node: str, bits: int) -> list[Column]:
+    """A node's two places in a filter of so many bits, a power of two."""
+    h = F.xxhash64(node)
+    return [h.bitwiseAND(bits - 1), F.shiftright(h, 32).bitwiseAND(bits - 1)]
+
+
+def _filter_of(nodes: DataFrame) -> np.ndarray:
+    """A Bloom filter of distinct nodes, as 64-bit words: all of them pass, and about one of 70 others up to FILTER_MOST bits."""
+    bits = min(1 << max(10, (FILTER_BITS * nodes.count()).bit_length()), FILTER_MOST)
+    at = nodes.select(F.explode(F.array(*_places("node", bits))).alias("at"))
+    found = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("set")).toArrow()
+    words = np.zeros(bits >> 6, np.uint64)
+    words[found.column("word").to_numpy()] = found.column("set").to_numpy().view(np.uint64)
+    return words
+
+
+def _packed(wanted: np.ndarray):
+    """(doc_id, text, place, place) to whole texts, compressed: a third of what their sets of hashes take in a shuffle. Only those that pass the filter."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in slices(batches):
+            one, two = (batch.column(k).to_numpy() for k in (2, 3))
+            keep = (wanted[one >> 6] >> (one & 63).astype(np.uint64)) & (wanted[two >> 6] >> (two & 63).astype(np.uint64)) & np.uint64(1)
+            batch = batch.select([0, 1]).filter(pa.array(keep.astype(bool)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "body"])
+
+    return packed
 
 
 def _confirmed(threshold: int):
@@ -298,9 +323,10 @@ def _in_buckets(open_: DataFrame, sketches: DataFrame, best: bool, threshold: in
 
 
 def _bodies(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The packed texts of the documents in pairs."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    packed = docs.where("doc_id IS NOT NULL").mapInArrow(_packed, "node long, body binary")
+    """The packed texts of the documents in pairs. Few documents are, so that the others are left out before the join deals the texts."""
+    nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    wanted = _filter_of(nodes)
+    packed = docs.where("doc_id IS NOT NULL").select("doc_id", "text", *[c.alias(f"at{k}") for k, c in enumerate(_places("doc_id", 64 * len(wanted)))]).mapInArrow(_packed(wanted), "node long, body binary")
     return materialize(packed.join(nodes, "node").select("node", "body").distinct())  # distinct where the join has dealt them
 
 

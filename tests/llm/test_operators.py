@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from compare import same, tables
+from pyspark.sql import functions as F
 
 pytest.importorskip("siltstone.llm")
 from siltstone.llm import flac, licenses, mixing, neardup, packing, pii, quality, queries, sampling, secrets, suffixes  # noqa: E402
@@ -124,6 +125,24 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in found} == want
 
 
+def test_only_wanted_texts_are_dealt_out(spark, monkeypatch):
+    """All wanted ids pass the filter and few others do; with too few bits more pass, and the components stay."""
+    ids = spark.range(-20_000, 20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    nodes = spark.createDataFrame([(i * i - 9000,) for i in range(150)] + [(-(2**62),)], "node long")
+
+    def passed():
+        wanted = neardup._filter_of(nodes)
+        placed = ids.select("*", *[c.alias(f"at{k}") for k, c in enumerate(neardup._places("doc_id", 64 * len(wanted)))])
+        return {r.node for r in placed.mapInArrow(neardup._packed(wanted), "node long, body binary").select("node").collect()}
+
+    inside = {i * i - 9000 for i in range(150)}
+    found = passed()
+    assert inside <= found and len(found) < 1200
+    monkeypatch.setattr(neardup, "FILTER_MOST", 64)
+    assert inside <= passed()
+    test_near_duplicates(spark)
+
+
 def test_recall_near_the_threshold():
     """Pairs from 0.85 to 0.87: bands and sketches let (nearly) all through to the full sets."""
     rng = np.random.default_rng(5)
