@@ -63,7 +63,7 @@ def relay_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def brave_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Odd rows come twice; links of the engine's own and short titles are left out."""
+    """Odd rows come twice; links of the engine's own are left out."""
     own = F.when(F.col("page_id") % 5 == 0, F.lit("https://search.brave.com/help")).otherwise(F.concat(F.lit("https://b.example/"), F.col("page_id").cast("string")))
     one = F.concat(F.lit('<a href="'), own, F.lit('"><div class="site">b.example</div><div class="title x">T'), _flat(F.col("title"), 60), F.lit('</div></a>'))
     twice = F.when(F.col("page_id") % 2 == 1, F.concat(one, one)).otherwise(one)
